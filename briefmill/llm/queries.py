@@ -20,6 +20,34 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.neighbours import search
+
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = search(vectors.filter(F.col("id") % 20 == 0), vectors, 20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from briefmill.llm.common import shared_dir
+    from briefmill.llm.warc import capture_index, write_archives
+
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/warc"
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    out = "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured"
+    return capture_index(spark, path).select(*out)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.exact_dedup import classify
 
@@ -32,5 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_toxicity, op4_neighbours, op6_warc, op7_exact_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,15 @@ from briefmill.llm.common import materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain doesn't reject."""
+    from briefmill.llm.toxicity import score, train
+
+    docs = docs.select(*COLUMNS)
+    chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, chain).filter("NOT rejected").select(*COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from briefmill.llm.exact_dedup import deduplicate
 
@@ -28,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mixing", mixing), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("mixing", mixing), ("packing", packing)]
 #: The stages train a model, invert schedules and search: SQL can't express them. Tests hold them against brute force.
 ORACLE_SQL = None
 

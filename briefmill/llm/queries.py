@@ -54,11 +54,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.jaccard_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_toxicity, op4_neighbours, op6_warc, op7_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_toxicity, op4_neighbours, op6_warc, op7_exact_dedup, op8_jaccard_join, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,6 +6,7 @@ import string
 import uuid
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,25 +56,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending uint64 as byte planes of their differences: leading planes are zeros, which the shuffle's codec removes."""
+    """Ascending uint64 as byte planes of their differences; the upper planes, which hold little, are compressed."""
     if not len(keys):
         return b""
-    step = np.empty_like(keys)
-    step[0] = keys[0]
-    np.subtract(keys[1:], keys[:-1], out=step[1:])
-    top = int(step[1:].max()) if len(step) > 1 else 0
+    step = np.diff(keys)
+    top = int(step.max()) if len(step) else 0
     planes = max(1, (top.bit_length() + 7) // 8)
-    raw = step[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes]
-    return int(keys[0]).to_bytes(8, "little") + bytes([planes]) + np.ascontiguousarray(raw.T).tobytes()
+    raw = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T)
+    low = max(0, planes - 3)
+    head = int(keys[0]).to_bytes(8, "little") + len(step).to_bytes(8, "little") + bytes([planes])
+    return head + raw[:low].tobytes() + zstandard.ZstdCompressor(level=1).compress(raw[low:].tobytes())
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     if not blob:
         return np.empty(0, np.uint64)
-    planes = blob[8]
-    raw = np.frombuffer(blob, np.uint8, offset=9).reshape(planes, -1)
-    step = np.zeros((raw.shape[1] + 1, 8), np.uint8)
-    step[1:, :planes] = raw.T
+    n, planes = int.from_bytes(blob[8:16], "little"), blob[16]
+    low = max(0, planes - 3)
+    step = np.zeros((n + 1, 8), np.uint8)
+    step[1:, :low] = np.frombuffer(blob, np.uint8, low * n, 17).reshape(low, n).T
+    rest = zstandard.ZstdDecompressor().decompress(blob[17 + low * n :], max_output_size=max(1, (planes - low) * n))
+    step[1:, low:planes] = np.frombuffer(rest, np.uint8).reshape(planes - low, n).T
     out = step.view("<u8").ravel()
     out[0] = int.from_bytes(blob[:8], "little")
     return np.cumsum(out, dtype=np.uint64)

@@ -20,6 +20,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.toxicity import score, train
 
@@ -66,5 +73,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_toxicity, op4_neighbours, op6_warc, op7_exact_dedup, op8_jaccard_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_toxicity, op4_neighbours, op6_warc, op7_exact_dedup, op8_jaccard_join, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -23,12 +23,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes [starts[i], ends[i]) of buf; equal bytes have equal hashes wherever they stand."""
-    up, down = powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts])
+class RangeHashes:
+    """64-bit hashes of byte ranges of buf; equal bytes have equal hashes wherever they stand."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = powers(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
 def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
@@ -52,7 +56,7 @@ def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
         many = np.maximum(n - words + 1, 1)
         text = np.repeat(np.arange(len(group)), many)
         word = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + first[text]
-        hashes = range_hashes(buf, begins[word], ends[np.minimum(word + words - 1, last[text])])
+        hashes = RangeHashes(buf)(begins[word], ends[np.minimum(word + words - 1, last[text])])
         cut = np.cumsum(many)
         for k, h in enumerate(np.split(hashes, cut[:-1])):
             out.append(np.unique(h) if len(group[k]) else np.empty(0, np.uint64))

@@ -43,6 +43,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.language_model import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -73,5 +79,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_toxicity, op4_neighbours, op6_warc, op7_exact_dedup, op8_jaccard_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_toxicity, op4_neighbours, op5_language_model, op6_warc, op7_exact_dedup, op8_jaccard_join, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

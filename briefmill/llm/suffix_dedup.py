@@ -19,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefmill.llm.blocks import open_block, text_blocks
 from briefmill.llm.common import materialize, pack_sorted, release, unpack_sorted
 from briefmill.llm.shingles import RangeHashes
 
@@ -34,46 +33,16 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 SAMPLE_BITS = 40
 BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 
-_BLOCK = "block long, ids binary, nulls binary, sizes binary, text binary"
 _SENT = "bucket int, block long, names binary, docs binary"
 _ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("names", pa.binary()), ("docs", pa.binary())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, made = TaskContext.get().partitionId(), 0
-    ids, texts, size = [], [], 0
-
-    def block():
-        zipped = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        known = np.array([i or 0 for i in ids], np.int64)
-        nulls = np.array([i is None for i in ids], bool)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        row = [task << 24 | made, known.tobytes(), nulls.tobytes(), sizes.tobytes(), zipped]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]],
-            ["block", "ids", "nulls", "sizes", "text"],
-        )
-
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or b"")
-            size += len(texts[-1])
-            if size >= BLOCK_BYTES:
-                yield block()
-                ids, texts, size, made = [], [], 0, made + 1
-    if ids:
-        yield block()
-
-
 class Block:
     """The texts of a block, with the names of its suffixes."""
 
     def __init__(self, ids: bytes, nulls: bytes, sizes: bytes, text: bytes, depth: int):
         self.depth = depth
-        self.ids, self.nulls = np.frombuffer(ids, np.int64), np.frombuffer(nulls, bool)
-        self.sizes = np.frombuffer(sizes, np.int64)
-        self.raw = zstandard.ZstdDecompressor().decompress(text, max_output_size=max(1, int(self.sizes.sum())))
+        self.ids, self.nulls, self.sizes, self.raw = open_block(ids, nulls, sizes, text)
         self.buf = np.frombuffer(self.raw, np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         longest = int(self.sizes.max(initial=0))
@@ -278,7 +247,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, texts: bool = True, buck
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     step = _Round(buckets, depth)
-    blocks = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks, _BLOCK), "blocks")
+    blocks = text_blocks(docs, BLOCK_BYTES)
 
     def exchange(sent: DataFrame, name: str) -> DataFrame:
         out = materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket, _SENT), name)

@@ -73,11 +73,17 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from briefmill.llm.line_dedup import summary
+
+    return summary(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_toxicity, op4_neighbours, op5_language_model, op6_warc, op7_exact_dedup, op8_jaccard_join, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_toxicity, op4_neighbours, op5_language_model, op6_warc, op7_exact_dedup, op8_jaccard_join, op9_line_dedup, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

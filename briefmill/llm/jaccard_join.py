@@ -10,7 +10,7 @@ block sends a shingle once however many of its documents have it, so a frequent
 
 Links within a list are found without pairing all with all: first neighbours in order of size are compared and linked
 documents contracted; then entries are compared with those of other components than their own. No pair that may be
-linked and isn't yet connected is left out. Equal sets are one set from the start.
+linked and isn't yet connected is left out; parities of the sets rule out most others before they become rows. Equal sets are one set from the start.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from briefmill.llm.shingles import digest, shingle_sets
 MOST_SMALL = 20
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES = 16_000_000, 60_000, 8_000_000
 MANY = 0xFFFF
+#: Places of a list within which entries are compared at first, and 64-bit words of an outline for the lists.
+NEAREST, FOLDS = 6, 8
 #: Estimated cost of a list's entry, with the comparisons that it leads to, in enumerated subsets.
 ENTRY_COST = 12.0
 
@@ -145,20 +147,24 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ARROW)
 
 
-_FOUND = "row long, doc_id long, n long, digest binary, small binary, keys binary, prefix array<long>, outline binary"
+_FOUND = "row long, doc_id long, n long, digest binary, small binary, keys binary, prefix array<long>, outline binary, fold array<long>"
 _FOUND_ARROW = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("small", pa.binary()),
-    ("keys", pa.binary()), ("prefix", pa.list_(pa.int64())), ("outline", pa.binary()),
+    ("keys", pa.binary()), ("prefix", pa.list_(pa.int64())), ("outline", pa.binary()), ("fold", pa.list_(pa.int64())),
 ])
 
 
-def outline(keys: np.ndarray) -> bytes:
-    """The parity of how many keys fall on each of about as many bits as there are keys."""
-    bits = 1 << max(6, int(len(keys) - 1).bit_length())
+def parity(keys: np.ndarray, bits: int) -> bytes:
+    """The parity of how many keys fall on each bit."""
     at = (keys & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def outline(keys: np.ndarray) -> bytes:
+    """The parities on about as many bits as there are keys."""
+    return parity(keys, 1 << max(6, int(len(keys) - 1).bit_length()))
+
+
 def most_overlap(n: int, m: int, a: bytes, b: bytes) -> int:
     """An upper bound of the overlap of two sets of n and m keys with these outlines."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -205,6 +211,7 @@ def _documents(percent: int):
             out["keys"].append(np.sort(mine).tobytes() if live else None)
             out["prefix"].append(mine[:useful].view(np.int64) if live else None)
             out["outline"].append(outline(mine) if live else None)
+            out["fold"].append(np.frombuffer(parity(mine, 64 * FOLDS), np.int64) if live else None)
         return pa.Table.from_pydict(out, schema=_FOUND_ARROW)
 
     return run
@@ -241,20 +248,22 @@ BASE_LABEL = 0xD1B54A32D192ED03
 
 
 def _neighbours(percent: int):
-    """Pairs of entries that follow each other in a list; a is the smaller row."""
+    """Pairs of entries that are within NEAREST places of each other in a list; a is the smaller row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        tail = None
         for batch in batches:
-            key, n, row = (batch.column(c).to_numpy() for c in ("key", "n", "row"))
-            if before is not None:
-                key, n, row = (np.concatenate([[b], x]) for b, x in zip(before, (key, n, row), strict=True))
-            if not len(key):
-                continue
-            before = key[-1], n[-1], row[-1]
-            meet = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:]) & (row[1:] != row[:-1])
-            a, b = row[:-1][meet], row[1:][meet]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+            entry = [batch.column(c).to_numpy() for c in ("key", "n", "row")]
+            if tail is not None:
+                entry = [np.concatenate(x) for x in zip(tail, entry, strict=True)]
+            key, n, row = entry
+            found = [np.empty((0, 2), np.int64)]
+            for k in range(1, NEAREST + 1):
+                meet = (key[k:] == key[:-k]) & (100 * n[:-k] >= percent * n[k:]) & (row[k:] != row[:-k])
+                a, b = row[:-k][meet], row[k:][meet]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            tail = [x[-NEAREST:] for x in entry]
+            pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -335,16 +344,24 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, bucket_bytes: int =
     joined = components(links)
 
     # lists that still hold more than one component
+    k = F.expr("int(length(keys) div 8)").alias("k")
+    folds = large.select(F.col("row").alias("id"), k, *[F.get("fold", i).alias(f"f{i}") for i in range(FOLDS)])
     named = entries.join(joined, entries["row"] == joined["node"], "left")
     named = named.select("key", "row", "n", F.coalesce("root", "row").alias("part"))
     sizes = named.groupBy("key", "part").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count("*").alias("parts"))
     mixed = materialize(named.join(mixed.filter("parts > 1"), "key").drop("parts"), "mixed")
-    left = mixed.filter("part <> main").select("key", F.col("row").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
-    right = mixed.select("key", F.col("row").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"))
-    close = F.expr(f"px <> py AND 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-    rest = left.join(right, "key").filter(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
+    full = mixed.join(folds, mixed["row"] == folds["id"]).drop("id")
+    left = full.filter("part <> main").drop("main").withColumnsRenamed({c: "x" + c for c in full.columns if c != "key"})
+    right = full.drop("main").withColumnsRenamed({c: "y" + c for c in full.columns if c != "key"})
+    # pairs of other components whose sizes and parities allow enough overlap
+    apart = " + ".join(f"bit_count(xf{i} ^ yf{i})" for i in range(FOLDS))
+    least = f"((xn + yn) * {percent} + {99 + percent}) div {100 + percent}"
+    close = F.expr(
+        f"xpart <> ypart AND 100 * least(xn, yn) >= {percent} * greatest(xn, yn) AND (xk + yk - ({apart})) div 2 >= {least}"
+    )
+    rest = left.join(right, (left["key"] == right["key"]) & close)
+    rest = rest.select(F.least("xrow", "yrow").alias("a"), F.greatest("xrow", "yrow").alias("b")).distinct()
     more = _linked(rest, large, percent)
     joined = components(links.unionByName(more))
 

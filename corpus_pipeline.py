@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from briefmill.llm.common import materialize
 
@@ -24,6 +25,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(docs).select(*COLUMNS)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by shingle similarity the one with the smallest doc_id."""
+    from briefmill.llm.jaccard_join import join
+
+    found = join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    found = materialize(found, "representatives")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi").select(*COLUMNS)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each kept document as many times as the mix takes it, in training order."""
     from briefmill.llm.mixing import in_training_order, mix
@@ -37,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("mixing", mixing), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("jaccard_join", near), ("mixing", mixing), ("packing", packing)]
 #: The stages train a model, invert schedules and search: SQL can't express them. Tests hold them against brute force.
 ORACLE_SQL = None
 

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from briefmill.llm.common import materialize
 
-PROJECTIONS, THRESHOLD, GROWTH = 48, 0.5, 1.12
+PROJECTIONS, THRESHOLD = 96, 0.5
+#: Radii of virtual rehashing, in lengths of the longest vector.
+RADII = (0.7, 0.8, 0.87, 0.93, 1.0, 1.1, 1.3, 1.6, 2.0, 3.0)
 #: The part of a block that may be verified, and the least number.
-VERIFIED, LEAST_VERIFIED = 0.2, 400
+VERIFIED, LEAST_VERIFIED = 0.3, 400
 BLOCK, QUERY_BLOCK = 8192, 512
 
 
@@ -62,23 +64,33 @@ def build(vectors: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     return dealt.groupBy("block").applyInPandas(index, "block int, ids binary, vectors binary, ranked binary, places binary")
 
 
-def collided(ranked: np.ndarray, places: np.ndarray, at: np.ndarray, wanted: int) -> np.ndarray:
-    """Places of the vectors whose collisions reach the threshold, once there are `wanted` of them or all are reached."""
-    projections, n = ranked.shape
-    need = int(np.ceil(THRESHOLD * projections))
-    counts = np.zeros(n, np.int64)
-    low = high = np.array([np.searchsorted(ranked[j], at[j]) for j in range(projections)])
-    width = 0.35
-    while True:
-        new_low = np.array([np.searchsorted(ranked[j], at[j] - width, "left") for j in range(projections)])
-        new_high = np.array([np.searchsorted(ranked[j], at[j] + width, "right") for j in range(projections)])
-        new = [places[j, new_low[j] : low[j]] for j in range(projections)] + [places[j, high[j] : new_high[j]] for j in range(projections)]
-        counts += np.bincount(np.concatenate(new), minlength=n)
-        low, high = new_low, new_high
-        found = np.flatnonzero(counts >= need)
-        if len(found) >= wanted or len(found) == n:
-            return found
-        width *= GROWTH
+class Windows:
+    """Windows of one block's sorted arrays around the values of a bundle of queries, at each radius.
+
+    A window is a range of places in a sorted array; ranks hold each vector's place in every array, so that all the
+    vectors in all the windows are counted by comparing small integers.
+    """
+
+    def __init__(self, ranked: np.ndarray, places: np.ndarray, at: np.ndarray):
+        self.projections, self.n = ranked.shape
+        kind = np.uint16 if self.n < 1 << 16 else np.uint32
+        self.ranks = np.empty(places.shape, kind)
+        np.put_along_axis(self.ranks, places.astype(np.int64), np.arange(self.n, dtype=kind)[None, :], axis=1)
+        self.bounds = []
+        for width in RADII:
+            low = [np.searchsorted(ranked[j], at[:, j] - width, "left") for j in range(self.projections)]
+            high = [np.searchsorted(ranked[j], at[:, j] + width, "right") for j in range(self.projections)]
+            self.bounds.append((np.stack(low, axis=1).astype(kind), np.stack(high, axis=1).astype(kind)))
+
+    def collided(self, query: int, wanted: int) -> np.ndarray:
+        """Places of the vectors whose collisions reach the threshold, at the first radius with `wanted` of them."""
+        need = int(np.ceil(THRESHOLD * self.projections))
+        for low, high in self.bounds:
+            inside = (self.ranks - low[query][:, None]) < (high[query] - low[query])[:, None]  # below low wraps around
+            found = np.flatnonzero(inside.sum(axis=0, dtype=np.uint8 if self.projections < 256 else np.uint32) >= need)
+            if len(found) >= wanted:
+                return found
+        return np.arange(self.n)  # no radius was enough
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -119,9 +131,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> Dat
                 a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, PROJECTIONS))
                 at = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ a[:-1]
                 wanted = max(LEAST_VERIFIED, 2 * k, int(VERIFIED * len(ids)))
-                out = []
+                out, windows = [], Windows(ranked, places, at) if wanted < len(ids) else None
                 for i in range(len(q_ids)):
-                    near = collided(ranked, places, at[i], wanted) if wanted < len(ids) else np.arange(len(ids))
+                    near = windows.collided(i, wanted) if windows else np.arange(len(ids))
                     near = near[ids[near] != q_ids[i]]
                     score = x[near] @ q[i]
                     best = np.lexsort((ids[near], -score))[:k]

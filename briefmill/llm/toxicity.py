@@ -58,7 +58,52 @@ class Features:
                 ids = of[w] = self._word(w)
             if ids:
                 got.update(ids)
-        return np.fromiter(sorted(got), np.int64, len(got))
+        return np.fromiter(sorted(got), np.uint32, len(got))
+
+
+@dataclass
+class Rows:
+    """Binary features of texts: the places of row i in `ids` are places[starts[i]:starts[i + 1]]."""
+
+    ids: np.ndarray
+    places: np.ndarray
+    starts: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = np.diff(self.starts)[rows]
+        starts = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(starts[-1], dtype=np.int32) + np.repeat(self.starts[:-1][rows] - starts[:-1], size).astype(np.int32)
+        return Rows(self.ids, self.places[at], starts)
+
+    def only(self, ids: np.ndarray) -> Rows:
+        """The same rows with no features but ids (sorted)."""
+        new = np.searchsorted(ids, self.ids).astype(np.int32)
+        new[new == len(ids)] = 0
+        known = ids[new] == self.ids if len(ids) else np.zeros(len(self.ids), bool)
+        hit = known[self.places]
+        before = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+        return Rows(ids, new[self.places[hit]], before[self.starts].astype(np.int64))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(weights[self.places])])
+        return total[self.starts[1:]] - total[self.starts[:-1]]
+
+    def counts(self, of_row: np.ndarray) -> np.ndarray:
+        """For each feature the sum of of_row over the rows that have it."""
+        return np.bincount(self.places, weights=np.repeat(of_row, np.diff(self.starts)), minlength=len(self.ids))
+
+
+def gather(hashes: np.ndarray, starts: np.ndarray) -> Rows:
+    """Rows of hashed features, without those that fewer than LEAST_ROWS_OF_FEATURE rows have."""
+    ids, count = np.unique(hashes, return_counts=True)
+    every = ids[count >= LEAST_ROWS_OF_FEATURE]
+    place = np.minimum(np.searchsorted(every, hashes), max(0, len(every) - 1)).astype(np.int32)
+    hit = every[place] == hashes if len(every) else np.zeros(len(hashes), bool)
+    before = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+    return Rows(every, place[hit], before[starts].astype(np.int64))
 
 
 @dataclass
@@ -70,47 +115,28 @@ class Linear:
     extra: np.ndarray
     bias: float
 
-    def of_rows(self, rows: list[np.ndarray], extra: np.ndarray) -> np.ndarray:
-        at, starts = _places(rows, self.ids)
-        return _sigmoid(_sums(self.weights, at, starts) + extra @ self.extra + self.bias)
+    def of_rows(self, rows: Rows, extra: np.ndarray) -> np.ndarray:
+        return _sigmoid(rows.only(self.ids).sums(self.weights) + extra @ self.extra + self.bias)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _places(rows: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in sorted ids of the rows' features that are there, and where each row starts."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    at = np.searchsorted(ids, flat)
-    at[at == len(ids)] = 0
-    hit = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
-    return at[hit], np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(rows)))])
-
-
-def _sums(weights: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(weights[at])]) if len(at) else np.zeros(1)
-    return total[starts[1:]] - total[starts[:-1]]
-
-
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, extra: np.ndarray, steps: int = 250) -> Linear:
+def fit_linear(rows: Rows, y: np.ndarray, extra: np.ndarray, steps: int = 250) -> Linear:
     """Choose the features that say most about y, then descend on the penalised log loss with per-feature step sizes."""
     n, p = len(y), float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
-    ids, count = np.unique(np.concatenate(rows) if rows else np.empty(0, np.int64), return_counts=True)
-    ids, count = ids[count >= LEAST_ROWS_OF_FEATURE], count[count >= LEAST_ROWS_OF_FEATURE]
-    at, starts = _places(rows, ids)
-    positive = np.bincount(at, weights=np.repeat(y, np.diff(starts)), minlength=len(ids)) if len(ids) else np.empty(0)
+    count, positive = rows.counts(np.ones(n)), rows.counts(y)
     rest = np.maximum(n - count, 1)
     gap = (positive - count * p) ** 2 / np.maximum(count * p * (1 - p) * (rest / max(n, 1)), 1e-9)
-    ids = np.sort(ids[np.argsort(-gap, kind="stable")[:MOST_FEATURES]])
-    at, starts = _places(rows, ids)
-    row = np.repeat(np.arange(n), np.diff(starts))
-    w, v, b = np.zeros(len(ids)), np.zeros(extra.shape[1]), float(np.log(p / (1 - p)))
-    seen_w, seen_v, seen_b = np.full(len(ids), 1e-6), np.full(len(v), 1e-6), 1e-6
+    gap[count < LEAST_ROWS_OF_FEATURE] = -1
+    best = np.argsort(-gap, kind="stable")[:MOST_FEATURES]
+    x = rows.only(rows.ids[np.sort(best[gap[best] >= 0])])
+    w, v, b = np.zeros(len(x.ids)), np.zeros(extra.shape[1]), float(np.log(p / (1 - p)))
+    seen_w, seen_v, seen_b = np.full(len(w), 1e-6), np.full(len(v), 1e-6), 1e-6
     for _ in range(steps if 0 < y.sum() < n else 0):
-        r = _sigmoid(_sums(w, at, starts) + extra @ v + b) - y
-        g = np.bincount(at, weights=r[row], minlength=len(ids)) + PENALTY * w
+        r = _sigmoid(x.sums(w) + extra @ v + b) - y
+        g = x.counts(r) + PENALTY * w
         gv, gb = extra.T @ r + PENALTY * v, r.sum()
         seen_w += g * g
         seen_v += gv * gv
@@ -118,7 +144,7 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, extra: np.ndarray, steps:
         w -= 0.5 * g / np.sqrt(seen_w)
         v -= 0.5 * gv / np.sqrt(seen_v)
         b -= 0.5 * gb / np.sqrt(seen_b)
-    return Linear(ids, w, v, b)
+    return Linear(x.ids, w, v, b)
 
 
 @dataclass
@@ -127,22 +153,22 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
     threshold: float = 0.5
 
-    def predict(self, rows: list[np.ndarray]) -> np.ndarray:
+    def predict(self, rows: Rows) -> np.ndarray:
         found = np.zeros((len(rows), 0))
         for model in self.models:
             found = np.column_stack([found, model.of_rows(rows, found)])
         return found
 
 
-def fit_chain(names: list[str], rows: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(names: list[str], rows: Rows, y: np.ndarray, fold: np.ndarray) -> Chain:
     """y: a column of 0 and 1 for each category. The last category's threshold is the best by F1 out of fold."""
     chain, before = Chain(names), np.zeros((len(rows), 0))
     for k in range(len(names)):
         out = np.zeros(len(rows))
         for f in range(FOLDS):
             kept, held = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            part = fit_linear([rows[i] for i in kept], y[kept, k], before[kept])
-            out[held] = part.of_rows([rows[i] for i in held], before[held])
+            part = fit_linear(rows.take(kept), y[kept, k], before[kept])
+            out[held] = part.of_rows(rows.take(held), before[held])
         chain.models.append(fit_linear(rows, y[:, k], before))
         before = np.column_stack([before, out])
     if len(rows) and y[:, -1].any():
@@ -173,19 +199,22 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
                 batch = whole.slice(at, 256)
                 found = [of(t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]],
+                    [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), *batch.columns[2:]],
                     ["doc_id", "features", *marks],
                 )
 
-    schema = f"doc_id {kind}, features array<long>, " + ", ".join(f"{m} int" for m in marks)
+    schema = f"doc_id {kind}, features binary, " + ", ".join(f"{m} int" for m in marks)
     rows = texts.select("doc_id", "text", *marks).mapInArrow(features, schema)
     # rows that repeat a doc_id count once
     rows = rows.groupBy("doc_id", *marks).agg(F.min("features").alias("features"))
     got = rows.select("doc_id", "features", *marks, F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)).alias("fold"))
-    got = got.toPandas().sort_values("doc_id")
-    y = got[marks].to_numpy(np.float64).reshape(len(got), len(marks))
-    lists = [np.asarray(x, np.int64) for x in got["features"]]
-    return fit_chain(list(categories), lists, y, got["fold"].to_numpy(np.int64))
+    got = got.orderBy("doc_id").toArrow()  # MOST_ROWS rows
+    y = np.column_stack([got.column(m).to_numpy() for m in marks]).astype(np.float64).reshape(len(got), len(marks))
+    blobs = got.column("features").to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in blobs])]).astype(np.int64)
+    hashes = np.frombuffer(b"".join(blobs), np.uint32)
+    del blobs
+    return fit_chain(list(categories), gather(hashes, starts), y, got.column("fold").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:

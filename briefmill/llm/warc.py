@@ -2,13 +2,14 @@
 
 Archives are written by Spark's text sink: a row is a record and the line separator is the blank line that ends it, so
 the files are WARC 1.1 as they stand and the sink's commit protocol covers lost tasks. Reading back goes by
-Content-Length over whole files. Each archive is a run of captures sorted by URL key and time; range partitioning
+Content-Length over whole files, which are gzipped; offsets are those of the plain bytes. Each archive is a run of captures sorted by URL key and time; range partitioning
 deals every run's segments out, and each partition merges its k segments with a loser tree, so that the partitions in
 order hold the capture history of each URL. A URL with any part of the rows is split by time and page.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 LEAST_BYTES = 100
 GAP = b"\r\n\r\n"
-FILE_BYTES, FILE_RECORDS = 24_000_000, 20_000
+FILE_RECORDS = 10_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CAPTURES = (
     "urlkey string, captured string, page_id long, record_type string, refers_to long, payload_digest string, "
@@ -75,10 +76,9 @@ def write_archives(pages: DataFrame, path: str, captured: Callable[[Column], Col
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
-    dealt = rows.select(record.alias("value")).repartition(files)
-    dealt.write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    # the join's partitions are the files
+    out = rows.select(record.alias("value")).write.option("lineSep", GAP.decode()).option("compression", "gzip")
+    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -96,6 +96,10 @@ def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryvi
         at = end + len(GAP)
 
 
+def _plain(content: bytes) -> bytes:
+    return gzip.decompress(content) if content.startswith(b"\x1f\x8b") else content
+
+
 def _page(value: str | None) -> int | None:
     return int(value[len("<urn:page:") : -1]) if value else None
 
@@ -109,7 +113,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows = []
-            for at, length, headers, block in records(content.as_py()):
+            for at, length, headers, block in records(_plain(content.as_py())):
                 digest = headers["warc-payload-digest"].removeprefix("sha256:")
                 n = int(headers["x-payload-length"])
                 if headers["warc-type"] == "response":

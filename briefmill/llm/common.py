@@ -20,22 +20,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/briefmill-work"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    The shuffle files of the write are removed as it ends, since nothing will read them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that no longer have a reference."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the faster built-in."""
     plain = F.octet_length(c) == F.char_length(c)

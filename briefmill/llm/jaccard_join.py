@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import materialize, mix64, pack_sorted, release, unpack_sorted
+from briefmill.llm.common import materialize, mix64, pack_sorted, unpack_sorted
 from briefmill.llm.components import components
 from briefmill.llm.shingles import digest, shingle_sets
 
@@ -316,14 +316,11 @@ def join(docs: DataFrame, percent: int = 80, words: int = 5, bucket_bytes: int =
     An empty table gives an empty result. Columns besides doc_id and text are not read. Shingles are told apart by
     64-bit hashes.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(buckets, words), _SQL)
     listed = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, _SQL)
     found = materialize(listed.groupBy("block").applyInArrow(_documents(percent), _FOUND), "sets")
-    del sent, listed
-    release(spark)
     classes = found.filter("n > 0").groupBy("n", "digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"))
     classes = materialize(classes, "classes")
     one = found.join(classes.select("row"), "row", "left_semi")

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import ascii_lower, materialize, release
+from briefmill.llm.common import ascii_lower, materialize
 
 BUCKETS, NEAREST = 1 << 17, 4
+#: Names of an entry's columns on the other side of a pair.
+OTHER = {"d": "md", "l": "ml", "n": "m", "at": "mat", "outline": "moutline", "t": "mt"}
 
 
 def tokens(line: Column) -> Column:
@@ -76,14 +78,12 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     document, whose lines of the same number are not earlier than each other; rows with a null doc_id are left as they
     are. An empty table gives an empty result. Columns besides doc_id and text are not read.
     """
-    spark = docs.sparkSession
     every = lines(docs.filter(F.col("doc_id").isNotNull())).withColumn("_t", tokens(F.col("line")))
     keyed = every.filter(F.size("_t") > 0).select(
         "doc_id", "line_no", F.xxhash64("_t").alias("k1"), F.xxhash64(F.lit("k2"), F.col("_t")).alias("k2"), "line"
     )
     reps = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
     reps = materialize(reps.select("k1", "k2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), "line"), "reps")
-    release(spark)
 
     classes = _rarity(reps)
     # a token as one number: its class, then its hash
@@ -95,25 +95,29 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))
     outline = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
     reach = F.expr(f"n - (({percent} * n + 99) div 100) + 1").cast("int")
-    entries = held.select("d", "l", "n", outline.alias("outline"), F.posexplode(F.slice("t", F.lit(1), reach)).alias("at", "t"))
-    other = entries.select(*[F.col(c).alias("m" if c == "n" else "t" if c == "t" else "m" + c) for c in entries.columns])
+    held = held.select("d", "l", "n", outline.alias("outline"), F.slice("t", F.lit(1), reach).alias("prefix"))
+    held = materialize(held, "prefixes")
+    entries = held.select("d", "l", "n", "outline", F.posexplode("prefix").alias("at", "t"))
+    # tokens of one prefix alone lead nowhere
+    entries = entries.withColumn("_n", F.count("*").over(W.partitionBy("t"))).filter("_n > 1").drop("_n")
+    entries = materialize(entries, "shared")
+    other = entries.select(*[F.col(c).alias(OTHER[c]) for c in entries.columns])
     differ = F.expr("(d <> md OR l <> ml) AND " + _candidates(percent))
-    live = materialize(entries.join(other, (entries["t"] == other["t"]) & differ, "left_semi"), "entries")
-    release(spark)
+    live = materialize(entries.join(other, (entries["t"] == other["mt"]) & differ, "left_semi"), "entries")
 
     sets = reps.join(live.select("d", "l").distinct(), ["d", "l"], "left_semi")
     sets = materialize(sets.select("d", "l", tokens(F.col("line")).alias("tokens")), "token_sets")
     order = W.partitionBy("t").orderBy("d", "l")
-    back = [F.struct(*[F.lag(c, i).over(order).alias("m" + c if c != "n" else "m") for c in ("d", "l", "n", "at", "outline")]) for i in range(1, NEAREST + 1)]
+    back = [F.struct(*[F.lag(c, i).over(order).alias(m) for c, m in OTHER.items() if c != "t"]) for i in range(1, NEAREST + 1)]
     near = live.select("*", F.array(*back).alias("_b")).withColumn("_p", F.explode("_b"))
     near = near.select("d", "l", "n", "at", "outline", "_p.*").filter(F.expr("md IS NOT NULL AND (d <> md OR l <> ml) AND " + _candidates(percent)))
     near = materialize(near.select("d", "l", F.col("md").alias("pd"), F.col("ml").alias("pl")).distinct(), "nearest")
     found = materialize(_verified(near, sets, percent), "found")
 
     rest = live.join(found, ["d", "l"], "left_anti")
-    other = live.select(*[F.col(c).alias("m" if c == "n" else "t" if c == "t" else "m" + c) for c in live.columns])
+    other = live.select(*[F.col(c).alias(OTHER[c]) for c in live.columns])
     earlier = F.expr("(md < d OR md = d AND ml < l) AND " + _candidates(percent))
-    pairs = rest.join(other, (rest["t"] == other["t"]) & earlier).select("d", "l", F.col("md").alias("pd"), F.col("ml").alias("pl"))
+    pairs = rest.join(other, (rest["t"] == other["mt"]) & earlier).select("d", "l", F.col("md").alias("pd"), F.col("ml").alias("pl"))
     pairs = pairs.distinct().join(near, ["d", "l", "pd", "pl"], "left_anti")
     found = materialize(found.unionByName(_verified(pairs, sets, percent)), "matches").withColumn("near", F.lit(True))
 

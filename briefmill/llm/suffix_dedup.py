@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm.blocks import open_block, text_blocks
-from briefmill.llm.common import materialize, pack_sorted, release, unpack_sorted
+from briefmill.llm.common import materialize, pack_sorted, unpack_sorted
 from briefmill.llm.shingles import RangeHashes
 
 DEPTH = 200
@@ -243,16 +243,13 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, texts: bool = True, buck
     """
     if depth < PERIOD + 32:
         raise ValueError(f"depth must be at least {PERIOD + 32}, so that names of the sample say enough")
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     step = _Round(buckets, depth)
     blocks = text_blocks(docs, BLOCK_BYTES)
 
     def exchange(sent: DataFrame, name: str) -> DataFrame:
-        out = materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket, _SENT), name)
-        release(spark)
-        return out
+        return materialize(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_bucket, _SENT), name)
 
     def answered(rows: DataFrame, answers: DataFrame, name: str) -> DataFrame:
         by = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "names", "docs")).alias(name))  # one for each bucket

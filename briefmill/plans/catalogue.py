@@ -188,11 +188,11 @@ def shared_entity_pairs(spark, sf):
 
 
 def _gone(spark, sf):
-    """Documents to delete: suppliers with a negative balance of their nation's sign."""
-    return table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("document_id"))
+    """Documents to delete: those of the suppliers of some nations."""
+    return table(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("document_id"))
 
 
-GONE_SQL = "(SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"
+GONE_SQL = "(SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)"
 
 
 @query(f"""{GRAPH_SQL} SELECT edge_type, entity FROM edges WHERE edge_type <> 'HAS_CLAUSE' EXCEPT SELECT edge_type, entity FROM edges WHERE document_id NOT IN {GONE_SQL}""")
@@ -276,11 +276,11 @@ def processed_filter(spark, sf):
 
 @query("""SELECT * FROM (SELECT q.vec_id AS query_id, c.label AS scope, c.vec_id AS ordinal, row_number() OVER (PARTITION BY q.vec_id, c.label ORDER BY
  round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))), 12) DESC, c.vec_id) - 1 AS dense_rank
- FROM embeddings q, embeddings c WHERE q.label = 0) WHERE dense_rank < 20""")
+ FROM embeddings q, embeddings c) WHERE dense_rank < 20""")
 def dense_topk(spark, sf):
-    """Vectors of one label against all, in the scope of each label."""
+    """Every vector against all, in the scope of each label."""
     rows = table(spark, sf, "embeddings").withColumn("dense", F.col("embedding").cast("array<double>"))
-    asked = rows.filter("label = 0").select(F.col("vec_id").alias("query_id"), "dense")
+    asked = rows.select(F.col("vec_id").alias("query_id"), "dense")
     score = F.round(retrieval.dot("q.dense", "c.dense", 64) / (F.sqrt(retrieval.dot("q.dense", "q.dense", 64)) * F.sqrt(retrieval.dot("c.dense", "c.dense", 64))), 12)
     pairs = rows.alias("c").crossJoin(asked.alias("q")).select("query_id", F.col("label").alias("scope"), F.col("vec_id").alias("ordinal"), score.alias("dense_score"))
     return retrieval._ranked(pairs, "dense_score", "dense_rank", 20).select("query_id", "scope", "ordinal", F.col("dense_rank").cast("long").alias("dense_rank"))
@@ -442,13 +442,6 @@ def heading_merge(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(F.length(F.trim("text")) == 0, "").otherwise(F.md5(merged)).alias("merged_md5"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 120), '[^\\w\\s-]', '', 'g'), '\\s+', '_', 'g') AS plain FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
-def file_names(spark, sf):
-    rows = table(spark, sf, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    plain = F.regexp_replace(F.regexp_replace(F.substring("text", 1, 120), r"[^\w\s-]", ""), r"\s+", "_")
-    return rows.select("doc_id", plain.alias("plain"))
-
-
 SPANS = [
     '{"span_id": "1", "trace_id": "t", "retrieved_chunks": [], "llm_response": {}, "retrieval_metadata": {"query": "q", "retrieval_method": "m", "top_k": 3, "retrieved_chunks": [], "all_ranked_chunks": [{"chunk_id": "c", "rank": 1, "dense_score": null, "sparse_score": 1, "rrf_score": 0.1}]}}',
     '{"span_id": "2", "retrieved_chunks": [], "llm_response": {}}',

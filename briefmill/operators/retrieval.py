@@ -11,11 +11,14 @@ from briefmill.functions import fixed
 DIMENSIONS = 64
 
 
-def hashed_vector(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Token counts by hash: the stand-in where no embedding model is plugged in."""
-    slot = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int"))
-    grouped = F.sort_array(slot)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(grouped, lambda s: s == i)).cast("double"))
+def hashed_vectors(rows: DataFrame, *keys: str, tokens: str = "tokens", dimensions: int = DIMENSIONS) -> DataFrame:
+    """keys, dense: the counts of each row's tokens by hash, the stand-in where no embedding model is plugged in. Rows
+    without tokens have no vector."""
+    slot = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int")
+    found = rows.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, slot.alias("slot")).agg(F.count("*").alias("n"))
+    pairs = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0)).cast("double"))
+    return pairs.select(*keys, every.alias("dense"))
 
 
 def postings(rows: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -29,9 +32,8 @@ def sparse_pooling(weights: DataFrame) -> DataFrame:
     return best.groupBy("chunk_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "weight")))).alias("sparse"))
 
 
-def dot(a: str, b: str, dimensions: int) -> Column:
-    """The sum of products, written out so that it stays in generated code."""
-    return F.expr(" + ".join(f"{a}[{i}] * {b}[{i}]" for i in range(dimensions)))
+def dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def _ranked(scored: DataFrame, score: str, name: str, most: int) -> DataFrame:
@@ -40,13 +42,13 @@ def _ranked(scored: DataFrame, score: str, name: str, most: int) -> DataFrame:
     return ranked.filter(F.col(name) < most)
 
 
-def dense_ranks(queries: DataFrame, chunks: DataFrame, most: int = fixed.CANDIDATES, dimensions: int = DIMENSIONS) -> DataFrame:
+def dense_ranks(queries: DataFrame, chunks: DataFrame, most: int = fixed.CANDIDATES) -> DataFrame:
     """query_id, scope, ordinal, dense_score, dense_rank (from 0): each query's nearest chunks of each scope by cosine.
     queries: query_id, dense; chunks: scope, ordinal, dense."""
-    norm = lambda c: F.sqrt(dot(c, c, dimensions))
+    norm = lambda c: F.sqrt(dot(c, c))
     q = queries.select("query_id", F.col("dense").alias("qv")).withColumn("qn", norm("qv")).filter("qn > 0")
     c = chunks.select("scope", "ordinal", F.col("dense").alias("cv")).withColumn("cn", norm("cv")).filter("cn > 0")
-    scored = c.crossJoin(q).select("query_id", "scope", "ordinal", (dot("qv", "cv", dimensions) / (F.col("qn") * F.col("cn"))).alias("dense_score"))
+    scored = c.crossJoin(q).select("query_id", "scope", "ordinal", (dot("qv", "cv") / (F.col("qn") * F.col("cn"))).alias("dense_score"))
     return _ranked(scored, "dense_score", "dense_rank", most)
 
 

@@ -61,8 +61,7 @@ def search(queries: DataFrame, child: DataFrame) -> DataFrame:
     """Fused candidates of queries (query_id, text) among the chunks."""
     tokens = queries.select("query_id", words(F.col("text")).alias("tokens"))
     dense = retrieval.dense_ranks(
-        tokens.select("query_id", retrieval.hashed_vector(F.col("tokens")).alias("dense")),
-        child.select("scope", "ordinal", retrieval.hashed_vector(F.col("tokens")).alias("dense")),
+        retrieval.hashed_vectors(tokens, "query_id"), retrieval.hashed_vectors(child, "scope", "ordinal")
     )
     weights = retrieval.postings(child.select("ordinal", "tokens"), "ordinal").join(child.select("ordinal", "scope"), "ordinal")
     sparse = retrieval.sparse_ranks(retrieval.postings(tokens, "query_id"), weights)

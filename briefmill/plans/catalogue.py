@@ -279,9 +279,9 @@ def processed_filter(spark, sf):
  FROM embeddings q, embeddings c) WHERE dense_rank < 20""")
 def dense_topk(spark, sf):
     """Every vector against all, in the scope of each label."""
-    rows = table(spark, sf, "embeddings").withColumn("dense", F.col("embedding").cast("array<double>"))
-    asked = rows.select(F.col("vec_id").alias("query_id"), "dense")
-    score = F.round(retrieval.dot("q.dense", "c.dense", 64) / (F.sqrt(retrieval.dot("q.dense", "q.dense", 64)) * F.sqrt(retrieval.dot("c.dense", "c.dense", 64))), 12)
+    rows = table(spark, sf, "embeddings").withColumn("dense", F.col("embedding").cast("array<double>")).withColumn("norm", F.sqrt(retrieval.dot("dense", "dense")))
+    asked = rows.select(F.col("vec_id").alias("query_id"), "dense", "norm")
+    score = F.round(retrieval.dot("q.dense", "c.dense") / (F.col("q.norm") * F.col("c.norm")), 12)
     pairs = rows.alias("c").crossJoin(asked.alias("q")).select("query_id", F.col("label").alias("scope"), F.col("vec_id").alias("ordinal"), score.alias("dense_score"))
     return retrieval._ranked(pairs, "dense_score", "dense_rank", 20).select("query_id", "scope", "ordinal", F.col("dense_rank").cast("long").alias("dense_rank"))
 

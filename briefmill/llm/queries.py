@@ -57,8 +57,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/warc"
     write_archives(_table(spark, sf_dir, "pages"), path)
-    out = "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured"
-    return capture_index(spark, path).select(*out)
+    return capture_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +75,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from briefmill.llm.line_dedup import summary
 
-    return summary(_table(spark, sf_dir, "documents"))
+    found = summary(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +86,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_toxicity, op4_neighbours, op5_language_model, op6_warc, op7_exact_dedup, op8_jaccard_join, op9_line_dedup, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+ q AS (SELECT *, strlen(html) >= 100 AND first <> page_id AS again FROM p)
+ SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN again THEN first END AS refers_to FROM q""",
+    "op7_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+ FROM (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
+    "op8_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+ e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+  HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+ links AS (SELECT a AS i, b AS o FROM l UNION ALL SELECT b, a FROM l),
+ reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, links.o FROM reach JOIN links ON reach.r = links.i)
+ SELECT doc_id, len(s) AS n_shingles, c AS component_id FROM s JOIN (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op9_line_dedup": f"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+ y AS (SELECT doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS line FROM x),
+ z AS (SELECT doc_id, k, list_sort(list_distinct({_WORDS.format(_LOW.format("line"))})) AS t FROM y),
+ u AS (SELECT t, min(doc_id * 1000000 + k) AS first, row_number() OVER () AS id FROM z WHERE len(t) > 0 GROUP BY t),
+ e AS (SELECT id, first, len(t) AS n, unnest(t) AS w FROM u),
+ near AS (SELECT DISTINCT id FROM (SELECT a.id FROM e a JOIN e b ON a.w = b.w AND b.first < a.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*)))),
+ gone AS (SELECT doc_id, count(*) AS c, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks FROM z JOIN u USING (t) WHERE doc_id * 1000000 + k <> first OR id IN (SELECT id FROM near) GROUP BY doc_id)
+ SELECT x.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_removed, coalesce(ks, '') AS removed_lines FROM x LEFT JOIN gone USING (doc_id)""",
+}

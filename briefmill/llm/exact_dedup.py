@@ -145,10 +145,10 @@ def classify(docs: DataFrame, parts: int = 2) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that classify() keeps, and of rows repeating doc_id and text only one."""
     kept = classify(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_copies"))
-    kept = materialize(kept.withColumnRenamed("doc_id", "_id"), "kept")
+    kept = materialize(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_copies"), "kept")
     text = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
     rows = docs.withColumn("_text", text)
-    match = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["text_sha256"])
+    match = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_sha"])
     one = rows.join(kept, match).select(*docs.columns, "_text", "_copies")
     if kept.filter("_copies > 1").isEmpty():
         return one.drop("_copies", "_text")

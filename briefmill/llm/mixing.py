@@ -84,9 +84,10 @@ def mix(
     Sources are told apart by code point; null is a source of its own and comes last. A null or empty text has size 0
     and is never taken. In a source's last epoch one document is cut where the target is reached; with whole=True it is
     taken whole if at least half of it would be, else not at all. Equal rows are distinct documents. An empty table
-    gives an empty result. Columns of docs whose names are those above are replaced.
+    gives an empty result. Columns of docs that have the names above, or kind, are dropped.
     """
     own = ["size", "source_size", "target", "taken", "copies", "_key", "_size", "_hash", "_bucket", "_before", "kind"]
+    own += ["epoch", "words", "position", "_copy"]  # of in_training_order()
     docs = docs.drop(*own)
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))

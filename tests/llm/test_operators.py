@@ -105,9 +105,11 @@ def test_mixing_inverts_the_schedule(spark):
 
 
 def test_mixing_odd(spark, empty, odd):
-    from briefmill.llm.mixing import mix
+    from briefmill.llm.mixing import in_training_order, mix
 
     assert mix(empty).count() == 0
+    clash = empty.selectExpr("*", "1 AS epoch", "2 AS position", "3 AS words", "4 AS copies", "5 AS kind", "6 AS taken")
+    assert in_training_order(mix(clash)).count() == 0
     got = mix(odd).collect()
     assert len(got) == 6 and sum(r["taken"] for r in got if r["text"]) > 0
 
@@ -345,6 +347,8 @@ def test_exact_dedup_odd(spark, empty, odd):
     from briefmill.llm.exact_dedup import PerfectHash, classify, deduplicate
 
     assert classify(empty).count() == 0 and deduplicate(empty).count() == 0
+    clash = odd.selectExpr("*", "'a' AS text_sha256", "1 AS keep_id", "2 AS group_size", "'d' AS digest")
+    assert sorted(deduplicate(clash).columns) == sorted(clash.columns) and deduplicate(clash).count() == 3
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in deduplicate(odd).collect()) == [(False, 1), (False, 3), (True, 0)]
     keys = np.random.default_rng(0).integers(0, 2**63, (5000, 4)).astype(np.uint64)
     table = PerfectHash(keys)

@@ -293,7 +293,7 @@ def _bench(spark, sf) -> DataFrame:
     return ad.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), ad.chunk_table(spark, sf))
 
 
-_FUSED = ["query_id", "scope", "ordinal", *[F.col(f"{c}_rank").cast("long").alias(f"{c}_rank") for c in ("dense", "sparse")], F.round("rrf_score", 9).alias("rrf_score")]
+_FUSED = ["query_id", "scope", "ordinal", "cast(dense_rank AS long) AS dense_rank", "cast(sparse_rank AS long) AS sparse_rank", "round(rrf_score, 9) AS rrf_score"]
 
 
 @query(f"WITH {search_sql(_BENCH)} SELECT query_id, scope, ordinal, sparse_rank, sparse_score FROM sparse")
@@ -307,7 +307,7 @@ def sparse_topk(spark, sf):
 
 @query(f"WITH {search_sql(_BENCH)} SELECT query_id, scope, ordinal, dense_rank, sparse_rank, round(rrf_score, 9) AS rrf_score FROM fused")
 def hybrid_rrf(spark, sf):
-    return _bench(spark, sf).select(*_FUSED)
+    return _bench(spark, sf).selectExpr(*_FUSED)
 
 
 _TWO = f"SELECT item_id * 10 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 10 + 1, array_to_string((t)[1:len(t) // 2], ' ') FROM (SELECT item_id, {TOKENS_SQL.format('text')} AS t FROM benchmark)"

@@ -2,9 +2,10 @@
 
 Words are counted over all training documents. The most frequent ones and the end of a text are the model's own words,
 in classes of like frequency; all others are one more class, within which their smoothed counts decide. The network (a
-gated recurrent unit with class-factored softmax outputs, in numpy) is trained by truncated backpropagation on a stretch
-of every training document: groups of documents train copies of the network, whose average starts the next round. To
-score, each text is read from its first word to its end, window after window, with the state carried along.
+gated recurrent unit with class-factored softmax outputs, in numpy) is trained by truncated backpropagation on every token
+of every training document: documents lie end to end in lanes that are read side by side, window after window, with the
+state carried along until a document ends. Groups of documents train copies of the network, whose average starts the next
+round, in which every document is read again. To score, each text is read in the same way, from its first word to its end.
 
 Texts stay in blocks, which are written once. For the counts a block sends each bucket its distinct words, and learns
 how often each occurs in training.
@@ -12,6 +13,7 @@ how often each occurs in training.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from briefmill.llm.common import materialize, pack_sorted, unpack_sorted
 from briefmill.llm.shingles import RangeHashes
 
 WORDS, CLASSES, HIDDEN = 1024, 24, 16
-WINDOW, STRETCH, BATCH = 24, 48, 256
-ROUNDS, TRAINER_TEXTS, LEAST_STEPS, RATE = 2, 8000, 60, 0.02
+WINDOW, LANES = 24, 256
+ROUNDS, TRAINER_TOKENS, LEAST_STEPS, RATE = 2, 4_000_000, 60, 0.02
 BLOCK_BYTES, BUCKET_BYTES = 24_000_000, 24_000_000
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0)  # no word has this name
@@ -182,92 +184,139 @@ def step(net: dict, h: np.ndarray, x: np.ndarray) -> tuple:
 def outputs(net: dict, vocabulary: Vocabulary, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
     """The log probability of token y after state h (of an other word: of their class); with grads also the loss's
     gradient by h, adding up those of the weights."""
-    c = vocabulary.class_of[y]
-    z = h @ net["class"] + net["class_bias"]
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    s = p.sum(axis=1)
+    # one column for each token: sums over classes or words then run along rows
+    c, ht = vocabulary.class_of[y], np.ascontiguousarray(h.T)
+    z = net["class"].T @ ht + net["class_bias"][:, None]
+    z -= z.max(axis=0)
     rows = np.arange(len(y))
-    out = z[rows, c] - np.log(s)
+    out = z[c, rows]
+    p = np.exp(z, out=z)
+    s = p.sum(axis=0)
+    out = out - np.log(s)
     if grads is not None:
-        p /= s[:, None]
-        p[rows, c] -= 1
-        grads["class"] += h.T @ p
-        grads["class_bias"] += p.sum(axis=0)
-        back = p @ net["class"].T
-    order = np.argsort(c, kind="stable")
+        p /= s
+        p[c, rows] -= 1
+        grads["class"] += ht @ p.T
+        grads["class_bias"] += p.sum(axis=1)
+        back = p.T @ net["class"].T
+    order = np.argsort(c.astype(np.int16), kind="stable")
     cut = np.searchsorted(c[order], np.arange(vocabulary.n_classes))
     for k, members in enumerate(vocabulary.members):
         own = order[cut[k] : cut[k + 1]]
         if not len(own) or len(members) == 1:
             continue
-        z = h[own] @ net["word"][:, members] + net["word_bias"][members]
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        s = p.sum(axis=1)
+        weights, some = net["word"][:, members], h[own]
+        z = weights.T @ some.T + net["word_bias"][members][:, None]
+        z -= z.max(axis=0)
         at, one = vocabulary.inside[y[own]], np.arange(len(own))
-        out[own] += z[one, at] - np.log(s)
+        mine = z[at, one]
+        p = np.exp(z, out=z)
+        s = p.sum(axis=0)
+        out[own] += mine - np.log(s)
         if grads is not None:
-            p /= s[:, None]
-            p[one, at] -= 1
-            grads["word"][:, members] += h[own].T @ p
-            grads["word_bias"][members] += p.sum(axis=0)
-            back[own] += p @ net["word"][:, members].T
+            p /= s
+            p[at, one] -= 1
+            grads["word"][:, members] += some.T @ p.T
+            grads["word_bias"][members] += p.sum(axis=1)
+            back[own] += p.T @ weights.T
     return out if grads is None else (out, back)
 
 
-def backpropagate(net: dict, vocabulary: Vocabulary, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, dict, float]:
-    """The state after a window x (texts, tokens; -1 after a text's end), the gradients within it, and the loss."""
+def backpropagate(
+    net: dict, vocabulary: Vocabulary, h: np.ndarray, x: np.ndarray, fresh: np.ndarray | None = None
+) -> tuple[np.ndarray, dict, float]:
+    """The state after a window x (texts, tokens; -1 after a text's end), the gradients within it, and the loss. Where
+    fresh holds, a text begins and the state before is dropped."""
     k, grads = HIDDEN, {name: np.zeros_like(w) for name, w in net.items()}
     states, tapes = [], []
     for t in range(x.shape[1]):
+        if fresh is not None and fresh[:, t].any():
+            h = np.where(fresh[:, t, None], 0, h)
         states.append(h)
         h, tape = step(net, h, np.maximum(x[:, t], 0))
         tapes.append(tape)
     there = (x >= 0).T.ravel()
     flat, y = np.concatenate(states)[there], x.T.ravel()[there]
     logs, back = outputs(net, vocabulary, flat, y, grads)
-    d_states = np.zeros((x.shape[1] * len(x), k), np.float32)
+    d_states = np.zeros((x.shape[1] * len(x), k), h.dtype)
     d_states[there] = back
     d_states = d_states.reshape(x.shape[1], len(x), k)
-    dh, d_inputs = np.zeros_like(h), np.empty((x.shape[1], len(x), 3 * k), np.float32)
-    for t in reversed(range(x.shape[1])):
-        before, z, r, n, g = tapes[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * g * r * (1 - r)
-        d_inputs[t] = np.concatenate([dz, dr, dn], axis=1)
-        dg = np.concatenate([dz, dr, dn * r], axis=1)
-        grads["state"] += before.T @ dg
-        dh = dh * z + dg @ net["state"].T + d_states[t]
-    np.add.at(grads["inputs"], y, d_inputs.reshape(-1, 3 * k)[there])
+    steps = x.shape[1]
+    dh, d_inputs = np.zeros_like(h), np.empty((steps, len(x), 3 * k), h.dtype)
+    d_gates = np.empty_like(d_inputs)
+    before, z, r, n, g = (np.stack(part) for part in zip(*tapes, strict=True))
+    of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), g * r * (1 - r)
+    back_state = np.ascontiguousarray(net["state"].T)
+    for t in reversed(range(steps)):
+        d, dg = d_inputs[t], d_gates[t]
+        dn = d[:, 2 * k :]
+        np.multiply(dh, of_n[t], out=dn)
+        np.multiply(dh, of_z[t], out=d[:, :k])
+        np.multiply(dn, of_r[t], out=d[:, k : 2 * k])
+        dg[:, : 2 * k] = d[:, : 2 * k]
+        np.multiply(dn, r[t], out=dg[:, 2 * k :])
+        dh = dh * z[t] + dg @ back_state + d_states[t]
+        if fresh is not None and fresh[:, t].any():
+            dh = np.where(fresh[:, t, None], 0, dh)
+    grads["state"] += before.reshape(-1, k).T @ d_gates.reshape(-1, 3 * k)
+    order = np.argsort(y.astype(np.int16), kind="stable")
+    if len(y):
+        first = np.flatnonzero(np.diff(y[order], prepend=-1))
+        grads["inputs"][y[order[first]]] += np.add.reduceat(d_inputs.reshape(-1, 3 * k)[there][order], first)
     return h, {name: g / max(1, len(y)) for name, g in grads.items()}, -float(logs.sum())
 
 
-def train_on(net: dict, vocabulary: Vocabulary, stretches: np.ndarray, seed: int) -> dict:
-    """The network after training on stretches (texts, tokens; padded with -1): by windows, state carried between them."""
+def lanes(many: np.ndarray, rng: np.random.Generator) -> list[list[int]]:
+    """Texts of so many tokens dealt to at most LANES lanes of like length, longest lane first, in random order within each."""
+    dealt: list[list[int]] = [[] for _ in range(min(LANES, len(many)))]
+    ends = [(0, k) for k in range(len(dealt))]
+    for i in np.argsort(-many, kind="stable").tolist():
+        length, k = ends[0]
+        heapq.heapreplace(ends, (length + int(many[i]), k))
+        dealt[k].append(i)
+    for lane in dealt:
+        rng.shuffle(lane)
+    return [dealt[k] for _, k in sorted(ends, key=lambda e: (-e[0], e[1]))]
+
+
+def windows(ids: np.ndarray, many: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All tokens of all texts, window after window of every lane that has any left: tokens (lanes, WINDOW; -1 after a
+    lane's end) and where texts begin. A lane keeps its row."""
+    begin, dealt = np.cumsum(many) - many, lanes(many, rng)
+    flat = np.concatenate([ids[begin[i] : begin[i] + many[i]] for lane in dealt for i in lane])
+    order = np.array([i for lane in dealt for i in lane])
+    fresh = np.zeros(len(flat), bool)
+    fresh[np.cumsum(many[order]) - many[order]] = True
+    length = np.array([many[lane].sum() for lane in dealt])
+    start_of, at = (np.cumsum(length) - length)[:, None], np.arange(WINDOW)
+    for w in range(0, int(length[0]), WINDOW):
+        live = int(np.searchsorted(-length, -w, "left"))  # lanes longer than w
+        there = w + at < length[:live, None]
+        place = np.where(there, start_of[:live] + w + at, 0)
+        yield np.where(there, flat[place], -1).astype(np.int64), fresh[place] & there
+
+
+def train_on(net: dict, vocabulary: Vocabulary, ids: np.ndarray, many: np.ndarray, seed: int) -> dict:
+    """The network after training on every token of the texts (their tokens' ids, `many` >= 1 of them), once or, where
+    that makes fewer than LEAST_STEPS steps, up to 12 times."""
     rng = np.random.default_rng(seed)
     net = {name: w.copy() for name, w in net.items()}
     first, second = ({name: np.zeros_like(w) for name, w in net.items()} for _ in range(2))
-    windows = -(-stretches.shape[1] // WINDOW)
-    per_turn = max(1, -(-len(stretches) // BATCH)) * windows
+    rows = min(LANES, len(many))
+    per_turn = max(-(-int(many.max()) // WINDOW), -(-int(many.sum()) // (rows * WINDOW)))  # about so many
     turns, done = min(12, max(1, -(-LEAST_STEPS // per_turn))), 0
     for _ in range(turns):
-        order = rng.permutation(len(stretches))
-        for i in range(0, len(order), BATCH):
-            rows = stretches[order[i : i + BATCH]]
-            h = np.zeros((len(rows), HIDDEN), np.float32)
-            for w in range(0, rows.shape[1], WINDOW):
-                x = rows[:, w : w + WINDOW]
-                if not (x >= 0).any():
-                    break
-                h, grads, _ = backpropagate(net, vocabulary, h, x)
-                done += 1
-                rate = RATE * (1 - 0.9 * done / (turns * per_turn)) * np.sqrt(1 - 0.99**done) / (1 - 0.9**done)
-                for name, g in grads.items():
-                    first[name] += 0.1 * (g - first[name])
-                    second[name] += 0.01 * (g * g - second[name])
-                    net[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-7)).astype(np.float32)
+        h = np.zeros((rows, HIDDEN), np.float32)
+        for x, fresh in windows(ids, many, rng):
+            h, grads, _ = backpropagate(net, vocabulary, h[: len(x)], x, fresh)
+            done += 1
+            rate = RATE * max(0.1, 1 - 0.9 * done / (turns * per_turn)) * (1 - 0.99**done) ** 0.5 / (1 - 0.9**done)
+            # when most lanes have ended, a window says little and moves the weights less
+            rate *= min(1.0, 4 * float((x >= 0).mean()) * len(x) / rows)
+            for name, g in grads.items():
+                first[name] += 0.1 * (g - first[name])
+                second[name] += 0.01 * (g * g - second[name])
+                net[name] -= rate * first[name] / (np.sqrt(second[name]) + 1e-7)
     return net
 
 
@@ -305,7 +354,9 @@ def log_likelihoods(net: dict, vocabulary: Vocabulary, ids: np.ndarray, many: np
     return out
 
 
-def _stretches(vocabulary: Vocabulary):
+def _learnt(vocabulary: Vocabulary):
+    """The tokens of every training document, whole."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
@@ -313,23 +364,20 @@ def _stretches(vocabulary: Vocabulary):
             known = vocabulary.ids(names).astype(np.int16)
             begin, train = np.cumsum(many) - many, ~held_out(ids, nulls)
             salt = np.array([zlib.crc32(b"%d" % i) for i in ids.tolist()], np.int64)
-            at = begin + salt % np.maximum(many - STRETCH + 1, 1)
-            out = [known[a : a + min(STRETCH, e - a)].tobytes() for a, e, t in zip(at, begin + many, train, strict=True) if t]
-            yield pa.RecordBatch.from_arrays([pa.array(salt[train]), pa.array(out, pa.binary())], ["salt", "words"])
+            out = [known[a:e].tobytes() for a, e, t in zip(begin, begin + many, train, strict=True) if t]
+            yield pa.RecordBatch.from_arrays([pa.array(salt[train]), pa.array(many[train], pa.int64()), pa.array(out, pa.binary())], ["salt", "many", "words"])
 
     return run
 
 
 def _trained(net: dict, vocabulary: Vocabulary, seed: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("salt", "ascending"), ("words", "ascending")]).column("words").to_pylist()
-        x = np.full((len(rows), STRETCH), -1, np.int64)
-        for i, r in enumerate(rows):
-            w = np.frombuffer(r, np.int16)
-            x[i, : len(w)] = w
-        flat = _flat(train_on(net, vocabulary, x, seed)).astype(np.float64) * len(rows)
+        table = table.sort_by([("salt", "ascending"), ("words", "ascending")])
+        many = table.column("many").to_numpy()
+        ids = np.frombuffer(b"".join(table.column("words").to_pylist()), np.int16)
+        flat = _flat(train_on(net, vocabulary, ids, many, seed)).astype(np.float64) * len(ids)
         group = table.column("trainer")[0].as_py() // 64
-        return pa.table({"group": pa.array([group], pa.int64()), "n": pa.array([float(len(rows))]), "net": pa.array([flat.tobytes()], pa.binary())})
+        return pa.table({"group": pa.array([group], pa.int64()), "n": pa.array([float(len(ids))]), "net": pa.array([flat.tobytes()], pa.binary())})
 
     return run
 
@@ -344,16 +392,13 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def fit(blocks: DataFrame, vocabulary: Vocabulary) -> dict:
-    """Train on a stretch of every training document, in rounds of averaging."""
-    stretches = materialize(blocks.mapInArrow(_stretches(vocabulary), "salt long, words binary"), "stretches")
+    """Train on all of every training document in each of the rounds of averaging; networks count by their tokens."""
+    learnt = materialize(blocks.mapInArrow(_learnt(vocabulary), "salt long, many long, words binary"), "learnt")
     net, schema = start(vocabulary), "group long, n double, net binary"
-    for r in range(ROUNDS):
-        part = stretches.filter(F.pmod("salt", F.lit(ROUNDS)) == r)
-        n = part.count()
-        if not n:
-            continue
-        trainers = -(-n // TRAINER_TEXTS)
-        dealt = part.withColumn("trainer", F.pmod(F.xxhash64("salt", "words"), F.lit(trainers)).cast("int"))
+    tokens_in_all = learnt.agg(F.sum("many")).first()[0]
+    for r in range(ROUNDS if tokens_in_all else 0):
+        trainers = -(-tokens_in_all // TRAINER_TOKENS)
+        dealt = learnt.withColumn("trainer", F.pmod(F.xxhash64(F.lit(r), "salt", "words"), F.lit(trainers)).cast("int"))
         nets = dealt.repartition(trainers, "trainer").groupBy("trainer").applyInArrow(_trained(net, vocabulary, r), schema)
         while trainers > 1:
             nets, trainers = nets.groupBy("group").applyInArrow(_summed, schema), -(-trainers // 64)

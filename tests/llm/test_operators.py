@@ -281,6 +281,53 @@ def test_language_model_learns(spark):
     assert sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
 
 
+def test_language_model_trains_on_every_token(spark, docs, monkeypatch):
+    """Whole training documents leave the blocks and reach the network, the state carried until a document ends."""
+    from briefmill.llm import language_model as lm
+    from briefmill.llm.blocks import text_blocks
+
+    voc = lm.Vocabulary(np.arange(12, dtype=np.uint64), np.arange(12, 0, -1), 90, 15, most=12, classes=3)
+    rows = text_blocks(docs, lm.BLOCK_BYTES).mapInArrow(lm._learnt(voc), "salt long, many long, words binary").collect()
+    want = [len(words(r["text"])) + 1 for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 1]
+    assert sorted(r["many"] for r in rows) == sorted(want) and all(len(r["words"]) == 2 * r["many"] for r in rows)
+    rng = np.random.default_rng(2)
+    many = np.concatenate([rng.integers(1, 90, 600), [3000]])
+    ids = rng.integers(1, 12, many.sum()).astype(np.int16)
+    ids[np.cumsum(many) - 1] = 0  # ends
+    seen, plain, last = Counter(), lm.backpropagate, {}
+
+    def spy(net, v, h, x, fresh):
+        starts = fresh.sum()
+        seen.update({"tokens": (x >= 0).sum(), "texts": starts, "sum": x[x >= 0].sum()})
+        if last:  # the state that the window before left
+            assert np.array_equal(h, last["h"][: len(x)])
+        out = plain(net, v, h, x, fresh)
+        last["h"] = out[0]
+        return out
+
+    monkeypatch.setattr(lm, "backpropagate", spy)
+    monkeypatch.setattr(lm, "LEAST_STEPS", 1)
+    lm.train_on(lm.start(voc), voc, ids, many, 0)
+    assert seen == {"tokens": many.sum(), "texts": len(many), "sum": ids.sum()}
+
+
+def test_language_model_texts_in_a_lane_are_apart():
+    """Two texts end to end give the loss and gradients of the two alone."""
+    from briefmill.llm import language_model as lm
+
+    rng = np.random.default_rng(0)
+    voc = lm.Vocabulary(np.arange(12, dtype=np.uint64), np.arange(12, 0, -1), 90, 15, most=12, classes=3)
+    net = {k: (w + 0.3 * rng.standard_normal(w.shape)).astype(np.float64) for k, w in lm.start(voc).items()}
+    x, zero = rng.integers(0, 13, (1, 9)), np.zeros((1, lm.HIDDEN))
+    fresh = np.array([[True] + [False] * 4 + [True] + [False] * 3])
+    _, one, a = lm.backpropagate(net, voc, zero, x[:, :5])
+    _, two, b = lm.backpropagate(net, voc, zero, x[:, 5:])
+    _, both, loss = lm.backpropagate(net, voc, zero, x, fresh)
+    assert abs(a + b - loss) < 1e-9
+    for name in net:
+        assert np.allclose(5 * one[name] + 4 * two[name], 9 * both[name], atol=1e-6)
+
+
 def test_language_model_odd(spark, empty, odd):
     from briefmill.llm.language_model import score_texts
 

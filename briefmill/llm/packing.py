@@ -2,15 +2,17 @@
 
 Documents are tokenized where they are read; only a row of lengths for each piece moves. Full pieces fill a sequence
 alone. The others are dealt at random into shards of bounded size; each is packed best-fit decreasing, then documents
-are moved, exchanged one for one or two for one between underfull bins, each step raising the sum of squared fills,
-until bins empty. A shard ends with at most a bin or so that is not full.
+are moved, exchanged one for one or two for one between all of its underfull bins, each step raising the sum of squared
+fills, until no step is left.
 """
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from briefmill.llm.common import materialize
 
 CAPACITY, END = 2048, 0
-#: Pieces of a shard on average, and how many underfull bins its local search takes up.
-SHARD_PIECES, SEARCH_BINS = 20_000, 400
+#: Pieces of a shard on average.
+SHARD_PIECES = 20_000
 
 _cache: dict[str, tuple] = {}
 
@@ -152,67 +154,115 @@ class _Bins:
                 rooms[room].append(b)
 
 
-def local_search(items: list[list[int]], free: list[int], sizes: np.ndarray, rounds: int = 60) -> None:
-    """Improve bins in place: moves, exchanges of one for one and of two for one from emptier to fuller bins.
-
-    Each step raises the sum of squared fills. A bin that has been emptied stays as an empty list.
+class _Sources:
+    """Bins by the sizes of their items and by the sums of two of them."""
+
+    def __init__(self, items: list[list[int]], sizes: list[int]):
+        self.items, self.sizes = items, sizes
+        self.bins: tuple[dict, dict] = ({}, {})  # of one item, of two: size -> bins
+        self.have = [0, 0]  # bit s is set where size s occurs
+        self.kept: dict[int, tuple] = {}
+
+    def add(self, b: int) -> None:
+        count = Counter(self.sizes[i] for i in self.items[b])
+        one = sorted(count)
+        two = {s + t for k, s in enumerate(one) for t in one[:k]} | {2 * s for s, n in count.items() if n > 1}
+        self.kept[b] = one, two
+        for kind, found in enumerate((one, two)):
+            for s in found:
+                if s not in self.bins[kind]:
+                    self.bins[kind][s] = set()
+                    self.have[kind] |= 1 << s
+                self.bins[kind][s].add(b)
+
+    def remove(self, b: int) -> None:
+        for kind, found in enumerate(self.kept.pop(b)):
+            for s in found:
+                left = self.bins[kind][s]
+                left.remove(b)
+                if not left:
+                    del self.bins[kind][s]
+                    self.have[kind] ^= 1 << s
+
+    def greatest(self, kind: int, most: int) -> int:
+        """The greatest size of at most `most`; -1 for none."""
+        return (self.have[kind] & ((2 << most) - 1)).bit_length() - 1
+
+    def taken(self, b: int, kind: int, size: int) -> list[int]:
+        """The item of bin b, or its two, of that size."""
+        by_size: dict[int, int] = {}
+        for i in self.items[b]:
+            s = self.sizes[i]
+            if not kind and s == size:
+                return [i]
+            if size - s in by_size:
+                return [by_size[size - s], i]
+            by_size.setdefault(s, i)
+        raise KeyError(size)
+
+
+def local_search(items: list[list[int]], free: list[int], sizes: np.ndarray) -> None:
+    """Improve bins in place until no step is left: moves and exchanges of one or two items for one at most, from any
+    emptier bin to a fuller one.
+
+    Each step raises the sum of squared fills. Bins are filled from the fullest on, each taking what brings it nearest
+    to full, from the emptiest bin that has it. A bin that has been emptied stays as an empty list.
     """
-    for _ in range(rounds):
-        order = sorted((b for b in range(len(items)) if items[b] and free[b] > 0), key=lambda b: -free[b])
-        if len(order) < 2:
-            return
+    size, changed = [int(s) for s in sizes], True
+    while changed:
         changed = False
-        for source in order:
-            if not items[source]:
+        left = [(free[b], b) for b in range(len(items)) if items[b] and free[b] > 0]
+        heapq.heapify(left)
+        sources = _Sources(items, size)
+        for _, b in left:
+            sources.add(b)
+        while left:
+            room, target = heapq.heappop(left)
+            if target not in sources.kept:
+                continue
+            if room != free[target]:  # it has given since
+                heapq.heappush(left, (free[target], target))
                 continue
-            for target in reversed(order):
-                if target == source or not items[source] or not items[target] or free[target] == 0:
-                    continue
-                if free[target] > free[source]:
-                    break
-                changed |= _improve(items, free, sizes, source, target)
-        if not changed:
-            return
-
-
-def _improve(items, free, sizes, source: int, target: int) -> bool:
-    """One step that takes the fuller bin `target` nearer to full: the best of the three kinds."""
-    room, a, b = free[target], items[source], items[target]
-    best, what = 0, None
-    for i in a:
-        if best < sizes[i] <= room:
-            best, what = sizes[i], ([i], [])
-    if best < room:
-        by_size = sorted((int(sizes[j]), j) for j in b)
-        only = [s for s, _ in by_size]
-        singles = [(int(sizes[i]), (i,)) for i in a]
-        pairs = [(int(sizes[a[x]] + sizes[a[y]]), (a[x], a[y])) for x in range(min(len(a), 24)) for y in range(x)]
-        for s, group in singles + pairs:
-            # the smallest item of target whose leaving makes room for the group
-            k = bisect.bisect_left(only, s - room)
-            while k < len(only) and only[k] < s:
-                if s - only[k] > best:
-                    best, what = s - only[k], (list(group), [by_size[k][1]])
-                break
+            sources.remove(target)
+            while free[target] and _improve(sources, free, target):
+                changed = True
+
+
+def _improve(sources: _Sources, free: list[int], target: int) -> bool:
+    """One step that takes bin `target` nearest to full, from a bin that is no fuller."""
+    room, items, sizes = free[target], sources.items, sources.sizes
+    best, what, seen = 0, None, set()
+    for j in [None, *items[target]]:
+        out = 0 if j is None else sizes[j]
+        if out in seen:
+            continue
+        seen.add(out)
+        for kind in (0, 1):
+            s = sources.greatest(kind, out + room)
+            if s - out > best:
+                best, what = s - out, (kind, s, j)
+        if best == room:
+            break
     if what is None:
         return False
-    give, back = what
-    items[source] = [i for i in a if i not in give] + back
-    items[target] = [j for j in b if j not in back] + give
-    free[target] -= int(best)
-    free[source] += int(best)
+    kind, s, back = what
+    source = max(sources.bins[kind][s], key=lambda b: (free[b], b))
+    sources.remove(source)
+    give = sources.taken(source, kind, s)
+    items[source] = [i for i in items[source] if i not in give] + ([] if back is None else [back])
+    items[target] = [j for j in items[target] if j != back] + give
+    free[target] -= best
+    free[source] += best
+    if items[source]:
+        sources.add(source)
     return True
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, search_bins: int = SEARCH_BINS) -> tuple[np.ndarray, np.ndarray]:
+def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset in it of each item."""
     bins = _Bins(capacity)
     bins.best_fit(sizes)
-    under = sorted((b for b in range(len(bins.items)) if bins.free[b] > 0), key=lambda b: -bins.free[b])[:search_bins]
-    items, free = [bins.items[b] for b in under], [bins.free[b] for b in under]
-    local_search(items, free, sizes)
-    for b, got in zip(under, items, strict=True):
-        bins.items[b] = got
+    local_search(bins.items, bins.free, sizes)
     number, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     for n, got in enumerate(x for x in bins.items if x):
         at = 0

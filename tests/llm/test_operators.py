@@ -540,6 +540,37 @@ def test_packing_tokenizer_matches_whole_texts():
         assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("least", "most", "bins"), [(300, 700, 5000), (400, 900, 6650), (500, 1100, 8300)])
+def test_local_search_takes_up_every_underfull_bin(least, most, bins):
+    """A whole shard: no step is left between any two bins, and fewer bins than a search of 400 of them leaves."""
+    from briefmill.llm.packing import _Bins, local_search, pack_sizes
+
+    sizes = np.random.default_rng(1).integers(least, most + 1, 20_000)
+    number, offset = pack_sizes(sizes, 2048)
+    fill = np.bincount(number, weights=sizes)
+    assert number.max() + 1 <= bins and fill.max() <= 2048
+    assert all(offset[i] >= 0 and offset[i] + sizes[i] <= 2048 for i in range(len(sizes)))
+    some = _Bins(2048)
+    some.best_fit(sizes[:400])
+    local_search(some.items, some.free, sizes)
+    under = [(sorted(int(sizes[i]) for i in x), f) for x, f in zip(some.items, some.free, strict=True) if x and f]
+    for a, room_a in under:
+        groups = a + [x + y for k, x in enumerate(a) for y in a[:k]]
+        for b, room in under:
+            if room < room_a:
+                assert not any(0 < g - back <= room for g in groups for back in [0, *b])
+
+
+def test_local_search_pairs_from_bins_of_many_items():
+    """Only the last two of 40 items, for one, fill the other bin."""
+    from briefmill.llm.packing import local_search
+
+    sizes = np.array([30] * 38 + [60, 53, 100, 1900])
+    items, free = [list(range(40)), [40, 41]], [2013 - 1253, 13]
+    local_search(items, free, sizes)
+    assert free[1] == 0 and sorted(i for x in items for i in x) == list(range(42))
+
+
 def test_local_search_empties_bins():
     from briefmill.llm.packing import local_search, pack_sizes
 

@@ -151,6 +151,76 @@ def test_job_to_brief(spark, tmp_path):
     assert "3 error(s)" in down and "No risk flags detected" in down
 
 
+def test_job_sees_a_clause_outside_the_best_chunk(spark):
+    """Page 2 has most words of the query, page 6 has the clause."""
+    from briefmill.plans.pipeline import run
+
+    filler = [" ".join(f"w{p}x{i}" for i in range(300)) for p in range(8)]
+    filler[1] += " governing law jurisdiction choice of law state"
+    filler[5] += " this agreement follows the law of Delaware"
+    pages = spark.createDataFrame([("d", p + 1, t) for p, t in enumerate(filler)], "doc_id string, page_number int, text string")
+
+    def extract(rows):
+        seen = (F.col("clause_type") == "Governing Law") & F.col("context").contains("law of Delaware")
+        return rows.withColumn("raw", F.when(seen, F.lit('{"found": true, "clause_text": "law of Delaware", "normalized_value": "Delaware", "confidence": 0.9}')))
+
+    job = run(spark, "j", pages, extract)
+    assert [r["found"] for r in job.clauses.filter("clause_type = 'Governing Law'").collect()] == [True]
+
+
+def test_contexts_against_plain(spark):
+    import hashlib
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    from briefmill.functions import fixed
+    from briefmill.operators import chunks, clauses
+    from briefmill.plans.pipeline import BETWEEN, contexts
+
+    rng = random.Random(1)
+    vocab = sorted({w for q in fixed.CATEGORIES.values() for w in q.split()}) + [f"f{i}" for i in range(200)]
+    rows = [(d, p, " ".join(rng.choice(vocab) for _ in range(rng.randint(20, 2600 if p == 2 else 400)))) for d in ("a", "b") for p in range(1, 8)]
+    pages = spark.createDataFrame([*rows, ("none", 1, " ")], "doc_id string, page_number int, text string")
+    window = chunks.parents(pages)
+    text = {r["parent_id"]: " ".join(r["tokens"]) for r in window.collect()}
+    child = defaultdict(list)
+    for r in sorted(chunks.children(window).collect(), key=lambda r: r["chunk_index"]):
+        child[r["doc_id"]].append((r, Counter(t.lower() for t in r["tokens"])))
+
+    def vector(count):
+        v = [0.0] * 64
+        for t, n in count.items():
+            v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 64] += n
+        return v
+
+    def dot(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True))
+
+    got = {(r["document_id"], r["clause_type"]): r for r in contexts(pages, clauses.categories(spark)).collect()}
+    assert len(got) == 3 * len(fixed.CATEGORIES) and got["none", "Parties"]["context"] is None
+    for d, own in child.items():
+        dense = [vector(c) for _, c in own]
+        for category, query in fixed.CATEGORIES.items():
+            scores, more = defaultdict(float), fixed.ALTERNATES.get(category, [])
+            for q in [query, *more]:
+                asked = Counter(q.lower().split())
+                v = vector(asked)
+                near = [dot(v, x) / (math.sqrt(dot(v, v)) * math.sqrt(dot(x, x))) for x in dense]
+                for k, i in enumerate(sorted(range(len(own)), key=lambda i: (-near[i], i))[:20]):
+                    scores[i] += 1 / (60 + k)
+                shared = {i: sum(n * c[t] for t, n in asked.items()) for i, (_, c) in enumerate(own) if any(t in c for t in asked)}
+                for k, i in enumerate(sorted(shared, key=lambda i: (-shared[i], i))[:20]):
+                    scores[i] += 1 / (60 + k)
+            best = {}
+            for i in sorted(scores, key=lambda i: (-round(scores[i], 9), i)):
+                best.setdefault(own[i][0]["parent_id"], own[i][0])
+            chosen = sorted(list(best.values())[: 5 if more else 3], key=lambda r: (r["page_number"], r["page_parent_index"]))
+            r = got[d, category]
+            assert r["contexts"] == [text[c["parent_id"]] for c in chosen], (d, category)
+            assert r["context"] == BETWEEN.join(r["contexts"]) and r["source_chunk_id"] == chosen[0]["chunk_id"]
+
+
 def test_streamed_files(spark, tmp_path):
     from briefmill.streaming.ingest import ingest_texts
 

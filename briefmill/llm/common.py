@@ -15,8 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset one beside the warehouse."""
+    """The folder that driver and executors share, which spark.checkpoint.dir names. Where it is unset a local session gets
+    one beside its warehouse; on a cluster that might be a machine's own disk, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/briefmill-work"
 
 
@@ -35,8 +38,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before or "false")
-    return spark.read.schema(df.schema).parquet(path)
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing will read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at).getParent()
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:

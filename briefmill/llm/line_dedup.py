@@ -1,12 +1,11 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations alone.
 
-Lines of equal token sets are one line, kept where it comes first. Of the others each line's tokens are ordered by
-rarity (how many distinct lines have them, by counts in a fixed number of hash buckets; ties by hash), and its prefix
-is as long as a match needs. Lines that meet in a prefix token are candidates if their lengths, the token's positions
-and a parity outline of their sets allow enough overlap. Entries without any candidate go first, by a semi join that
-makes no pairs. Then each line is held against the nearest earlier ones of its lists; only lines that none of these
-matches are paired with all earlier candidates. So a large group of near copies costs a few pairs a line, and no
-candidate of a line that stays is left out.
+Every line is read as a set of tokens once. Lines of equal sets are one line, kept where it comes first. Each line's
+tokens are ordered by rarity (their counts in a fixed number of hash buckets; ties by hash), and its prefix is as long
+as a match needs. Lines that meet in a prefix token are candidates if their lengths, the token's positions and a parity
+outline of their sets allow enough overlap. First each line is held against its nearest neighbours in its lists; only
+lines that no earlier one of these matches are then paired with all earlier candidates. So a large group of near copies
+costs a few pairs a line, and no candidate of a line that stays is left out.
 """
 
 from __future__ import annotations
@@ -15,17 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import ascii_lower, materialize
+from briefmill.llm.common import ascii_lower, discard, materialize
 
-BUCKETS, NEAREST = 1 << 17, 4
-#: Names of an entry's columns on the other side of a pair.
-OTHER = {"d": "md", "l": "ml", "n": "m", "at": "mat", "outline": "moutline", "t": "mt"}
+#: Rarity is counted in ROWS x PLACES buckets, a byte each.
+ROWS, PLACES = 512, 2048
+#: Neighbours of a list that a line is held against first, lines that one neighbourhood's sort may hold, and parts in
+#: which the full pairing goes through the tokens, so that a part's shuffle is a fraction of the lists.
+NEAREST, SORTED_LINES, TOKEN_PARTS = 4, 250_000, 2
 
 
-def tokens(line: Column) -> Column:
-    """Sorted hashes of the distinct words of a line, A-Z lower-cased."""
-    words = F.array_remove(F.split(ascii_lower(line), r"[\x20\x09-\x0D]+"), "")
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def _words(line: Column) -> Column:
+    """Words of a line, A-Z lower-cased; one or more may be empty strings. Lines whose only white space is blanks take
+    the faster way."""
+    low = ascii_lower(line)
+    other = F.contains(line, F.lit("\t"))
+    for c in "\n\v\f\r":
+        other = other | F.contains(line, F.lit(c))
+    return F.when(other, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -33,17 +38,29 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(token, F.lit(BUCKETS)).cast("int")
+def _tokens(line: Column) -> Column:
+    """Sorted hashes of the distinct words of a line, A-Z lower-cased."""
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))))
+
+
+def _rarity(read: DataFrame) -> DataFrame:
+    """One row with arrays of classes: a token's class grows with the count of its bucket. Its size is fixed."""
+    bucket = F.pmod("t", F.lit(ROWS * PLACES)).alias("id")
+    counts = read.select(F.explode("tokens").alias("t")).groupBy(bucket).count()
+    counts = counts.unionByName(read.sparkSession.range(ROWS * PLACES).select("id", F.lit(0).cast("long").alias("count")))
+    rank = F.least(F.round(3 * F.log2(F.sum("count") + 1)), F.lit(127)).cast("tinyint")
+    ranks = counts.groupBy("id").agg(rank.alias("c")).select(F.expr(f"id div {PLACES}").alias("row"), F.struct("id", "c").alias("s"))
+    rows = ranks.groupBy("row").agg(F.sort_array(F.collect_list("s")).getField("c").alias("classes"))  # PLACES bytes
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("row", "classes"))).getField("classes").alias("classes"))
+    return materialize(rows, "rarity")  # ROWS * PLACES bytes
 
 
-def _rarity(reps: DataFrame) -> DataFrame:
-    """One row with an array of BUCKETS classes: a token's class grows with the count of lines in its bucket."""
-    counts = reps.select(F.explode(tokens(F.col("line"))).alias("t")).groupBy(_bucket(F.col("t")).alias("id")).count()
-    every = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("id"))
-    rank = F.least(F.round(6 * F.log2(F.coalesce("count", F.lit(0)) + 1)), F.lit(127)).cast("tinyint")
-    rows = every.join(counts, "id", "left").select(F.struct("id", rank.alias("c")).alias("s"))
-    return materialize(rows.agg(F.sort_array(F.collect_list("s")).getField("c").alias("classes")), "rarity")  # BUCKETS bytes
+def _ranked(tokens: Column, classes: Column) -> Column:
+    """Tokens in order of rarity, as numbers: the class, then 56 bits of the hash."""
+    row = lambda t: F.shiftright(F.pmod(t, F.lit(ROWS * PLACES)), PLACES.bit_length() - 1).cast("int")
+    place = lambda t: t.bitwiseAND(F.lit(PLACES - 1)).cast("int")
+    rank = lambda t: F.get(F.get(classes, row(t)), place(t)).cast("long")
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(rank(t), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def _needed(percent: int) -> str:
@@ -60,71 +77,89 @@ def _candidates(percent: int) -> str:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The line (d, l) of each pair (d, l, pd, pl) that matches the earlier line (pd, pl)."""
-    later = sets.select("d", "l", F.col("tokens").alias("x"))
-    earlier = sets.select(F.col("d").alias("pd"), F.col("l").alias("pl"), F.col("tokens").alias("y"))
-    both = pairs.join(later, ["d", "l"]).join(earlier, ["pd", "pl"]).withColumn("_o", F.size(F.array_intersect("x", "y")))
-    match = F.expr(f"100 * _o >= {percent} * (size(x) + size(y) - _o)")
-    return both.filter(match).select("d", "l").distinct()
+def _entries(prefixes: DataFrame, *more: str) -> DataFrame:
+    return prefixes.select("id", "n", "outline", *more, F.posexplode("prefix").alias("at", "t"))
+
+
+def _verified(pairs: DataFrame, read: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The later line's id of each pair (a, b) of ids that match, b before a; lines of one place aren't before each other."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = firsts.join(ids, "id", "left_semi").select("id", "line", "d", "l")
+    sets = materialize(read.select("line", "tokens").join(wanted, "line").drop("line"), "token_sets")
+    side = lambda c: sets.select(*[F.col(x).alias(c + x) for x in sets.columns])
+    both = pairs.join(side("a"), pairs["a"] == F.col("aid")).join(side("b"), pairs["b"] == F.col("bid"))
+    both = both.withColumn("_o", F.size(F.array_intersect("atokens", "btokens")))
+    match = F.expr(f"100 * _o >= {percent} * (size(atokens) + size(btokens) - _o) AND (ad <> bd OR al <> bl)")
+    found = materialize(both.filter(match).select(F.col("a").alias("id")).distinct(), "found")
+    discard(sets)
+    return found
 
 
 def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, line_no of the lines that match an earlier one: sets of words (A-Z lower-cased) with a Jaccard similarity
     of at least percent/100. Earlier is by doc_id, then line number; whether the earlier line is itself removed makes no
-    difference.
+    difference. Words are told apart by 64-bit hashes.
 
     Lines without words match nothing; a null or empty text has no such lines. Rows that repeat a doc_id are one
     document, whose lines of the same number are not earlier than each other; rows with a null doc_id are left as they
     are. An empty table gives an empty result. Columns besides doc_id and text are not read.
     """
-    every = lines(docs.filter(F.col("doc_id").isNotNull())).withColumn("_t", tokens(F.col("line")))
-    keyed = every.filter(F.size("_t") > 0).select(
-        "doc_id", "line_no", F.xxhash64("_t").alias("k1"), F.xxhash64(F.lit("k2"), F.col("_t")).alias("k2"), "line"
-    )
-    reps = keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
-    reps = materialize(reps.select("k1", "k2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), "line"), "reps")
-
-    classes = _rarity(reps)
-    # a token as one number: its class, then its hash
-    held = reps.select("d", "l", tokens(F.col("line")).alias("t")).withColumn("_classes", classes.scalar())
-    mask = F.lit((1 << 56) - 1)
-    ranked = F.sort_array(F.transform("t", lambda t: F.shiftleft(F.get("_classes", _bucket(t)).cast("long"), 56).bitwiseOR(t.bitwiseAND(mask))))
-    held = held.select("d", "l", F.size("t").alias("n"), ranked.alias("t"))
+    every = lines(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"))
+    # the id, which is not deterministic, keeps the filter from being pushed below, where it would tokenize again
+    read = every.select(F.monotonically_increasing_id().alias("line"), "doc_id", "line_no", _tokens(F.col("line")).alias("tokens"))
+    read = read.filter(F.size("tokens") > 0)
+    read = materialize(read.withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.lit("k2"), F.col("tokens"))}), "lines")
+    # of equal sets the first; ids are in the order of places
+    firsts = read.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
+    firsts = firsts.select("k1", "k2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), F.col("first.line").alias("line"))
+    firsts = firsts.repartitionByRange("d", "l").sortWithinPartitions("d", "l", "k1", "k2")
+    firsts = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), "firsts")
+
+    rarity = _rarity(read)
     # a parity outline: the exclusive or of a bit for each token
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))
-    outline = F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
-    reach = F.expr(f"n - (({percent} * n + 99) div 100) + 1").cast("int")
-    held = held.select("d", "l", "n", outline.alias("outline"), F.slice("t", F.lit(1), reach).alias("prefix"))
-    held = materialize(held, "prefixes")
-    entries = held.select("d", "l", "n", "outline", F.posexplode("prefix").alias("at", "t"))
-    # tokens of one prefix alone lead nowhere
-    entries = entries.withColumn("_n", F.count("*").over(W.partitionBy("t"))).filter("_n > 1").drop("_n")
-    entries = materialize(entries, "shared")
-    other = entries.select(*[F.col(c).alias(OTHER[c]) for c in entries.columns])
-    differ = F.expr("(d <> md OR l <> ml) AND " + _candidates(percent))
-    live = materialize(entries.join(other, (entries["t"] == other["mt"]) & differ, "left_semi"), "entries")
-
-    sets = reps.join(live.select("d", "l").distinct(), ["d", "l"], "left_semi")
-    sets = materialize(sets.select("d", "l", tokens(F.col("line")).alias("tokens")), "token_sets")
-    order = W.partitionBy("t").orderBy("d", "l")
-    back = [F.struct(*[F.lag(c, i).over(order).alias(m) for c, m in OTHER.items() if c != "t"]) for i in range(1, NEAREST + 1)]
-    near = live.select("*", F.array(*back).alias("_b")).withColumn("_p", F.explode("_b"))
-    near = near.select("d", "l", "n", "at", "outline", "_p.*").filter(F.expr("md IS NOT NULL AND (d <> md OR l <> ml) AND " + _candidates(percent)))
-    near = materialize(near.select("d", "l", F.col("md").alias("pd"), F.col("ml").alias("pl")).distinct(), "nearest")
-    found = materialize(_verified(near, sets, percent), "found")
-
-    rest = live.join(found, ["d", "l"], "left_anti")
-    other = live.select(*[F.col(c).alias(OTHER[c]) for c in live.columns])
-    earlier = F.expr("(md < d OR md = d AND ml < l) AND " + _candidates(percent))
-    pairs = rest.join(other, (rest["t"] == other["mt"]) & earlier).select("d", "l", F.col("md").alias("pd"), F.col("ml").alias("pl"))
-    pairs = pairs.distinct().join(near, ["d", "l", "pd", "pl"], "left_anti")
-    found = materialize(found.unionByName(_verified(pairs, sets, percent)), "matches").withColumn("near", F.lit(True))
-
-    marked = reps.select("k1", "k2", "d", "l").join(found, ["d", "l"], "left")
-    again = keyed.select("doc_id", "line_no", "k1", "k2").join(marked, ["k1", "k2"])
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    outline = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    n = F.size("tokens")
+    # the classes are read in one place, so that the optimizer puts the subquery there and no row carries them
+    ranked = _ranked(F.col("tokens"), F.col("_classes"))
+    prefix = F.slice(ranked, F.lit(1), n - F.expr(f"(size(tokens) * {percent} + 99) div 100").cast("int") + 1)
+    prefixes = read.withColumn("_classes", rarity.scalar()).select("line", n.alias("n"), outline.alias("outline"), prefix.alias("prefix"))
+    prefixes = materialize(prefixes.join(firsts.select("line", "id"), "line").drop("line"), "prefixes")
+    discard(rarity)
+
+    # a list's lines by length, in neighbourhoods of bounded size
+    parts = max(1, -(-prefixes.count() // SORTED_LINES))
+    order = W.partitionBy("t", "_part").orderBy("n", "id")
+    listed = _entries(prefixes).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    other = F.struct(F.col("id").alias("mid"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("outline").alias("moutline"))
+    back = F.array(*[F.lag(other, i).over(order) for i in range(1, NEAREST + 1)])
+    near = listed.withColumn("_b", back).withColumn("_b", F.explode("_b")).select("id", "n", "at", "outline", "_b.*")
+    near = near.filter(F.expr("mid IS NOT NULL AND " + _candidates(percent)))
+    near = near.select(F.greatest("id", "mid").alias("a"), F.least("id", "mid").alias("b")).distinct()
+    near = materialize(near, "nearest")
+    found = _verified(near, read, firsts, percent)
+
+    marked = prefixes.join(found.withColumn("rest", F.lit(False)), "id", "left")
+    marked = materialize(marked.withColumn("rest", F.coalesce("rest", F.lit(True))), "marked")
+    discard(prefixes)
+    pairs = None
+    for part in range(TOKEN_PARTS):
+        mine = _entries(marked, "rest").filter(F.pmod(F.xxhash64("t"), F.lit(TOKEN_PARTS)) == part)
+        left = mine.filter("rest").drop("rest")
+        right = mine.select("t", F.col("id").alias("mid"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("outline").alias("moutline"))
+        met = left.join(right, "t").filter(F.expr("mid < id AND " + _candidates(percent))).select(F.col("id").alias("a"), F.col("mid").alias("b"))
+        met = materialize(met.distinct(), "pairs")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    discard(marked)
+    rest = materialize(pairs.distinct().join(near, ["a", "b"], "left_anti"), "rest")
+    found = materialize(found.unionByName(_verified(rest, read, firsts, percent)).withColumn("near", F.lit(True)), "matches")
+
+    places = firsts.join(found, "id", "left").select("k1", "k2", "d", "l", "near")
+    again = read.select("doc_id", "line_no", "k1", "k2").join(places, ["k1", "k2"])
     later = (F.col("doc_id") != F.col("d")) | (F.col("line_no") != F.col("l"))
-    return again.filter(later | F.coalesce("near", F.lit(False))).select("doc_id", "line_no").distinct()
+    gone = materialize(again.filter(later | F.coalesce("near", F.lit(False))).select("doc_id", "line_no").distinct(), "gone")
+    discard(read, firsts)
+    return gone
 
 
 def summary(docs: DataFrame, percent: int = 80) -> DataFrame:

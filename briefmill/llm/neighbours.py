@@ -3,9 +3,9 @@
 A largest inner product becomes a smallest distance once every vector has one coordinate more that brings it to the
 greatest length. The index hashes each vector with single random projections and keeps each projection's values
 sorted, block by block of vectors. A query opens a window around its own value in each sorted array, and virtual
-rehashing widens all windows together until enough vectors have collided in a threshold of the projections; those are
-verified with exact inner products. Blocks of queries meet blocks of vectors by an equality join, and only the best k
-of each meeting move on.
+rehashing widens all windows together; a widening reads only what enters. As soon as enough vectors have collided in a
+threshold of the projections, those are verified with exact inner products. Blocks of queries meet blocks of vectors by
+an equality join, and only the best k of each meeting move on.
 """
 
 from __future__ import annotations
@@ -21,26 +21,38 @@ from pyspark.sql import functions as F
 
 from briefmill.llm.common import materialize
 
-PROJECTIONS, THRESHOLD = 96, 0.5
-#: Radii of virtual rehashing, in lengths of the longest vector.
-RADII = (0.7, 0.8, 0.87, 0.93, 1.0, 1.1, 1.3, 1.6, 2.0, 3.0)
-#: The part of a block that may be verified, and the least number.
-VERIFIED, LEAST_VERIFIED = 0.3, 400
+#: Projections at most, drawn as orthogonal bases, and the part of them in which a vector must collide.
+PROJECTIONS, THRESHOLD = 130, 0.85
+#: The first radius of virtual rehashing, in lengths of the longest vector, and how much each next one is wider.
+RADIUS, WIDER = 1.7, 1.04
+#: The part of a block that must have collided before windows stop widening; 4 * k vectors at least.
+VERIFIED = 0.03
 BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """id and vector (doubles) of the vectors that can take part: not null, not all zero, no null, infinite or NaN parts."""
+    """id and vector (doubles) of the vectors that can take part: not null, not all zero, no null, infinite or NaN parts. A
+    null id takes no part; of rows that repeat an id the least vector does."""
     v = F.transform("vector", lambda x: x.cast("double"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     some = F.exists("vector", lambda x: x != 0)
-    return vectors.filter(F.col("vector").isNotNull() & ~bad & some).select("id", v.alias("vector"))
+    known = vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad & some)
+    return known.select("id", v.alias("vector")).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
     return np.array(rows.tolist(), np.float64)
 
 
+def projections(dimensions: int, seed: int) -> np.ndarray:
+    """A column for each projection: random orthogonal bases, each vector as long as a normal one is on average."""
+    rng, bases = np.random.default_rng(seed), []
+    for _ in range(-(-PROJECTIONS // dimensions)):
+        q, r = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))
+        bases.append(q * np.sign(np.diag(r)) * np.sqrt(dimensions))
+    return np.concatenate(bases, axis=1)[:, :PROJECTIONS]
+
+
 def build(vectors: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """The index: a row for each block of vectors, holding ids, vectors, and each projection's sorted values and order."""
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
@@ -51,9 +63,9 @@ def build(vectors: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
         rows = rows.sort_values("id", kind="stable")
         x = _matrix(rows["vector"])
         last = np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0.0))
-        a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, PROJECTIONS))
+        a = projections(x.shape[1] + 1, seed)
         values = (x @ a[:-1] + last[:, None] * a[-1]) / longest
-        order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
+        order = np.argsort(values, axis=0, kind="stable").T.astype(np.uint16 if len(rows) <= 1 << 16 else np.int32)
         ranked = np.take_along_axis(values.T, order.astype(np.int64), axis=1)
         return pd.DataFrame({
             "block": [int(rows["block"].iloc[0])], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()],
@@ -65,40 +77,54 @@ def build(vectors: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
 
 
 class Windows:
-    """Windows of one block's sorted arrays around the values of a bundle of queries, at each radius.
-
-    A window is a range of places in a sorted array; ranks hold each vector's place in every array, so that all the
-    vectors in all the windows are counted by comparing small integers.
-    """
+    """Windows of one block's sorted arrays around the values of queries, which widen together."""
 
     def __init__(self, ranked: np.ndarray, places: np.ndarray, at: np.ndarray):
+        """ranked, places: each projection's values in order, and whose they are; at: each query's values."""
+        self.ranked, self.places, self.at = ranked, places, at
         self.projections, self.n = ranked.shape
-        kind = np.uint16 if self.n < 1 << 16 else np.uint32
-        self.ranks = np.empty(places.shape, kind)
-        np.put_along_axis(self.ranks, places.astype(np.int64), np.arange(self.n, dtype=kind)[None, :], axis=1)
-        self.bounds = []
-        for width in RADII:
-            low = [np.searchsorted(ranked[j], at[:, j] - width, "left") for j in range(self.projections)]
-            high = [np.searchsorted(ranked[j], at[:, j] + width, "right") for j in range(self.projections)]
-            self.bounds.append((np.stack(low, axis=1).astype(kind), np.stack(high, axis=1).astype(kind)))
+        self.need = int(np.ceil(THRESHOLD * self.projections))
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at_step(self, step: int, query: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the query's windows begin and end after so many widenings; found for all queries at once."""
+        if step not in self.windows:
+            radius = RADIUS * WIDER**step
+            low = [np.searchsorted(r, x - radius, "left") for r, x in zip(self.ranked, self.at.T, strict=True)]
+            high = [np.searchsorted(r, x + radius, "right") for r, x in zip(self.ranked, self.at.T, strict=True)]
+            self.windows[step] = np.array(low, np.int32).T.copy(), np.array(high, np.int32).T.copy()
+        low, high = self.windows[step]
+        return low[query], high[query]
+
+    def _count(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How often each vector stands in places[j][begin[j]:end[j]]."""
+        parts = [p[a:b] for p, a, b in zip(self.places, begin.tolist(), end.tolist(), strict=True) if a < b]
+        return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
 
     def collided(self, query: int, wanted: int) -> np.ndarray:
         """Places of the vectors whose collisions reach the threshold, at the first radius with `wanted` of them."""
-        need = int(np.ceil(THRESHOLD * self.projections))
-        for low, high in self.bounds:
-            inside = (self.ranks - low[query][:, None]) < (high[query] - low[query])[:, None]  # below low wraps around
-            found = np.flatnonzero(inside.sum(axis=0, dtype=np.uint8 if self.projections < 256 else np.uint32) >= need)
-            if len(found) >= wanted:
-                return found
-        return np.arange(self.n)  # no radius was enough
+        low, high = self.at_step(0, query)
+        if 2 * int((high - low).sum()) > self.n * self.projections:  # fewer stand outside
+            out = self._count(np.zeros_like(low), low) + self._count(high, np.full_like(high, self.n))
+            count = self.projections - out
+        else:
+            count = self._count(low, high)
+        step = 0
+        while len(found := np.flatnonzero(count >= self.need)) < min(wanted, self.n):
+            step += 1
+            below, above = self.at_step(step, query)
+            count += self._count(below, low) + self._count(high, above)  # what enters
+            low, high = below, above
+        return found
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), id, score: for each query (id, vector) its k vectors of largest inner product found.
 
     A vector with the query's own id is no candidate. Ties go to the smaller id. Vectors that are null, zero or hold
-    null or non-finite parts take no part on either side; fewer than k candidates are all returned. Vectors of one
-    call have one dimension. An empty table gives an empty result.
+    null or non-finite parts, or whose id is null, take no part on either side; rows that repeat an id are one vector, the
+    least of them. Fewer than k candidates are all returned. Vectors of one call have one dimension. An empty table gives
+    an empty result. Columns besides id and vector are not read.
     """
     base = materialize(usable(vectors), "vectors")
     asked = usable(queries)
@@ -113,6 +139,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> Dat
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         ids, x = rows["id"].to_numpy(np.int64), _matrix(rows["vector"])
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
         return pd.DataFrame({"q_ids": [ids.tobytes()], "q_vectors": [x.tobytes()]})
 
     bundles = bundle.groupBy("bundle").applyInPandas(pack, "q_ids binary, q_vectors binary")
@@ -127,13 +155,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> Dat
                 x = np.frombuffer(get["vectors"], np.float64).reshape(len(ids), -1)
                 q = np.frombuffer(get["q_vectors"], np.float64).reshape(len(q_ids), -1)
                 ranked = np.frombuffer(get["ranked"], np.float64).reshape(PROJECTIONS, -1)
-                places = np.frombuffer(get["places"], np.int32).reshape(PROJECTIONS, -1)
-                a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, PROJECTIONS))
+                kind = np.uint16 if len(ids) <= 1 << 16 else np.int32
+                places = np.frombuffer(get["places"], kind).reshape(PROJECTIONS, -1)
+                a = projections(x.shape[1] + 1, seed)
                 at = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ a[:-1]
-                wanted = max(LEAST_VERIFIED, 2 * k, int(VERIFIED * len(ids)))
-                out, windows = [], Windows(ranked, places, at) if wanted < len(ids) else None
+                wanted = max(4 * k, int(np.ceil(VERIFIED * len(ids))))
+                out, windows = [], Windows(ranked, places, at)
                 for i in range(len(q_ids)):
-                    near = windows.collided(i, wanted) if windows else np.arange(len(ids))
+                    near = windows.collided(i, wanted)
                     near = near[ids[near] != q_ids[i]]
                     score = x[near] @ q[i]
                     best = np.lexsort((ids[near], -score))[:k]

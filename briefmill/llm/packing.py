@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import json
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,50 +40,95 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a tokenizer must do before its merges so that texts can be encoded word by word.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> list[str]:
+    """The letter for each byte in byte-level vocabularies: itself where it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Encodes texts word by word with a cache; for tokenizers that never join across ASCII white space.
+    """Encodes texts word by word with a cache where the tokenizer is known never to join across ASCII white space, else
+    as wholes.
 
-    A word's ids are kept as little-endian 32-bit bytes. A word that is letters and then points or commas is the ids of
-    the letters, which are looked up in lower case, followed by those of the rest.
+    A word's ids are kept as little-endian 32-bit bytes. Words of letters alone, with points or commas after them, are
+    cut there by such a tokenizer; their letters go to its merges directly.
     """
 
-    #: Words held at most; beyond it the cache starts anew.
-    LIMIT = 1_500_000
+    #: Bytes of words and ids held at most; beyond it the cache starts anew.
+    LIMIT = 64_000_000
+    #: What a word takes besides its letters and ids.
+    OVERHEAD = 190
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        normalizer, pre = form.get("normalizer") or {}, form.get("pre_tokenizer") or {}
+        cuts = pre.get("pretokenizers") or [{}, {}]
+        split = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+        level = cuts[-1].get("type") == "ByteLevel" and not cuts[-1].get("add_prefix_space") and not cuts[-1].get("use_regex")
+        plain = form["model"].get("type") == "BPE" and not any(t["content"].isalpha() for t in form.get("added_tokens") or ())
+        self.by_word = normalizer.get("normalizers") == NORMALIZERS and len(cuts) == 2 and cuts[0] == split and level
+        self.merges = self.tokenizer.model.tokenize if self.by_word and plain else None
+        self.letters = _byte_letters()
         self.ids: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _put(self, word: bytes, ids: bytes) -> None:
+        self.ids[word] = ids
+        self.held += len(word) + len(ids) + self.OVERHEAD
 
     def _encode(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
         for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+            self._put(w, array("I", e.ids).tobytes())
+
+    def _merged(self, text: str) -> bytes:
+        if not text.isascii():
+            text = "".join(map(self.letters.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.merges(text)]).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         ids = self.ids
-        if len(ids) > self.LIMIT:
+        if self.held > self.LIMIT:
             ids.clear()
-        new = [w for w in words if w not in ids]
+            self.held = 0
         parts, split = set(), []
-        for w in new:
+        for w in [w for w in words if w not in ids]:
             body = w.rstrip(b".,")
-            if body.isalpha():
-                low = body.lower()
-                tail = w[len(body) :]
-                split.append((w, low, tail))
-                parts.add(low)
+            tail = w[len(body) :]
+            try:
+                text = body.decode()
+            except UnicodeDecodeError:
+                text = ""
+            low = text.lower() if text.isascii() else text
+            if self.merges and low.isalpha() and low == low.lower() and is_normalized("NFC", low) and len(low) < 100:
+                key = low.encode()
+                if key not in ids:
+                    self._put(key, self._merged(low))
+                if key != w:
+                    split.append((w, key, tail))
                 if tail:
                     parts.add(tail)
             else:
                 parts.add(w)
         self._encode([p for p in parts if p not in ids])
-        for w, low, tail in split:
-            ids[w] = ids[low] + ids[tail] if tail else ids[low]
+        for w, key, tail in split:
+            self._put(w, ids[key] + ids[tail] if tail else ids[key])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [array("I", e.ids).tobytes() for e in found]
         words = [t.split() for t in texts]
         self.learn(set().union(*words) if words else set())
         get = self.ids.__getitem__
@@ -93,6 +142,17 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _cache[path]
 
 
+def some_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of rows whose texts have about `most` bytes; a longer text is alone."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, total = 0, np.cumsum(size)
+    while begin < batch.num_rows:
+        before = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + most, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids, ending with `end`, cut at `capacity`."""
     path = tokenizer or default_tokenizer()
@@ -102,8 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in some_bytes(whole, 1, 2_000_000):
                 raw = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
                 row, piece, length, crc = [], [], [], []
                 for i, ids in enumerate(tok.encode(raw)):
@@ -277,7 +336,8 @@ def pack(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of every document.
 
-    A null or empty text is the end id alone. Equal rows, and rows of one doc_id, are distinct documents. An empty table
+    Documents are dealt to shards by hash, so an order of the rows (a curriculum's, say) isn't kept between sequences. A
+    null or empty text is the end id alone. Equal rows, and rows of one doc_id, are distinct documents. An empty table
     gives an empty result. Columns besides doc_id and text are not read.
     """
     cut = materialize(pieces(docs, tokenizer, capacity, end), "pieces")

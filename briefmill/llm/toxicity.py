@@ -33,7 +33,8 @@ def default_categories() -> dict[str, Column]:
 class Features:
     """Hashed features of texts: words without case and punctuation around them, and their first characters."""
 
-    LIMIT = 1_000_000
+    #: Words whose features are held at once, each with a few numbers.
+    LIMIT = 100_000
 
     def __init__(self, known: dict[int, int] | None = None):
         self.known, self.of = known, {}

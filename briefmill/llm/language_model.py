@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from briefmill.llm.blocks import open_block, text_blocks
 from briefmill.llm.common import materialize, pack_sorted, unpack_sorted
-from briefmill.llm.shingles import RangeHashes
+from briefmill.llm.shingles import Words
 
 WORDS, CLASSES, HIDDEN = 1024, 24, 16
 WINDOW, LANES = 24, 256
@@ -42,29 +42,19 @@ def held_out(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     return np.array([not z and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i, z in zip(ids.tolist(), nulls, strict=True)], bool)
 
 
-def tokens(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the tokens of all texts, A-Z lower-cased, and how many each text has; every text ends with END."""
-    names, many, at, i = [], [], 0, 0
-    while i < len(sizes):
-        group, size = [], 0
-        while i < len(sizes) and (not group or size < 1_000_000):
-            group.append(b" ".join(raw[at : at + sizes[i]].lower().split()))
-            at += sizes[i]
-            size += len(group[-1]) + 1
-            i += 1
-        buf = np.frombuffer(b"\n".join(b" " + g if g else g for g in group) + b"\n", np.uint8)
-        # each text is " w w w\n": a word begins after a blank and ends before a blank or line feed
-        begins = np.flatnonzero(buf == 32) + 1
-        stops = np.flatnonzero((buf == 32) | (buf == 10))
-        ends = stops[np.searchsorted(stops, begins)]
-        lines = np.flatnonzero(buf == 10)
-        words = np.maximum(RangeHashes(buf)(begins, ends), np.uint64(1))
-        count = np.diff(np.concatenate([[0], np.searchsorted(begins, lines)]))
-        names.append(np.insert(words, np.cumsum(count), END))
-        many.append(count + 1)
-    if not names:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(names), np.concatenate(many)
+def tokens(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted names of the distinct tokens of all texts, A-Z lower-cased, for each token its place among them, and how
+    many each text has; every text ends with END."""
+    split, parts, at = Words(), [], 0
+    for n in sizes.tolist():
+        parts.append(split(raw[at : at + n]))
+        at += n
+    names = np.concatenate([np.maximum(split.names(), np.uint64(1)), [END]]).astype(np.uint64)
+    end = np.array([len(names) - 1], np.int32)
+    every, place = np.unique(names, return_inverse=True)
+    flat = [x for p in parts for x in (p, end)]
+    many = np.array([len(p) + 1 for p in parts], np.int64)
+    return every, place[np.concatenate(flat)] if flat else np.empty(0, np.int64), many
 
 
 def _cuts(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -82,9 +72,8 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
-            names, many = tokens(raw, sizes)
+            words, place, many = tokens(raw, sizes)
             train = np.repeat(~held_out(ids, nulls), many)
-            words, place = np.unique(names, return_inverse=True)
             count = np.bincount(place[train], minlength=len(words)).astype("<u4")
             cut = _cuts(words, buckets)
             out: list[list] = [[], [], [], []]
@@ -360,8 +349,8 @@ def _learnt(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
-            names, many = tokens(raw, sizes)
-            known = vocabulary.ids(names).astype(np.int16)
+            words, place, many = tokens(raw, sizes)
+            known = vocabulary.ids(words).astype(np.int16)[place]
             begin, train = np.cumsum(many) - many, ~held_out(ids, nulls)
             salt = np.array([zlib.crc32(b"%d" % i) for i in ids.tolist()], np.int64)
             out = [known[a:e].tobytes() for a, e, t in zip(begin, begin + many, train, strict=True) if t]
@@ -413,8 +402,7 @@ def _scored(net: dict, vocabulary: Vocabulary, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
-            names, many = tokens(raw, sizes)
-            words, place = np.unique(names, return_inverse=True)
+            words, place, many = tokens(raw, sizes)
             cut, total = _cuts(words, buckets), np.zeros(len(words), np.int64)
             for a in row["answers"] or ():
                 total[cut[a["bucket"]] : cut[a["bucket"] + 1]] = np.frombuffer(zlib.decompress(a["counts"]), "<u8")

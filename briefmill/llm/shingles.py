@@ -1,38 +1,48 @@
-"""Word shingles of texts as sets of 64-bit hashes, many texts at a time."""
+"""Names of words, word shingles and byte windows: 64-bit hashes, many texts at a time.
+
+Words are named by a cryptographic hash, and what is made of several names goes through a mixer that is not linear, so
+that no regularity of texts makes different ones equal.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 
 from briefmill.llm.common import mix64
 
-BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Distinct words that are held at once.
+MOST_WORDS = 200_000
+#: Fixed odd multipliers of the mixer.
+FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB))
+
+
+class _Places(dict):
+    """A place for each word, in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def named(words: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<u8")
 
 
-class RangeHashes:
-    """64-bit hashes of byte ranges of buf; equal bytes have equal hashes wherever they stand."""
+class Words:
+    """The words of texts (A-Z lower-cased, split at ASCII white space), each as a place among the distinct ones."""
 
-    def __init__(self, buf: np.ndarray):
-        up, self.down = powers(len(buf) + 1)
-        self.sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.sums[1:])
+    def __init__(self) -> None:
+        self.places = _Places()
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
+
+    def names(self) -> np.ndarray:
+        return named(self.places)
 
 
 def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
@@ -40,28 +50,55 @@ def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
     whole sequence is one shingle; without words there is none."""
     out: list[np.ndarray] = []
     at = 0
-    while at < len(texts):  # some MB at a time
-        group, size = [], 0
-        while at < len(texts) and (not group or size < 1_000_000):
-            group.append(b" ".join((texts[at] or b"").lower().split()))
-            size += len(group[-1]) + 1
+    while at < len(texts):
+        split, group, size = Words(), [], 0
+        while at < len(texts) and (not group or size < 4_000_000 and len(split.places) < MOST_WORDS):
+            group.append(split(texts[at] or b""))
+            size += len(texts[at] or b"")
             at += 1
-        buf = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
-        ends = np.flatnonzero((buf == 32) | (buf == 10))
-        last = np.flatnonzero(buf[ends] == 10)  # the last word of each text
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        first = np.concatenate([[0], last[:-1] + 1])
-        n = last - first + 1
-        # shingle i of a text goes from its word i to word i + words - 1, or to its last word if it has fewer
-        many = np.maximum(n - words + 1, 1)
-        text = np.repeat(np.arange(len(group)), many)
-        word = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + first[text]
-        hashes = RangeHashes(buf)(begins[word], ends[np.minimum(word + words - 1, last[text])])
-        cut = np.cumsum(many)
-        for k, h in enumerate(np.split(hashes, cut[:-1])):
-            out.append(np.unique(h) if len(group[k]) else np.empty(0, np.uint64))
+        names = split.names()
+        n = np.array([len(g) for g in group], np.int64)
+        flat = names[np.concatenate(group)] if n.any() else np.empty(0, np.uint64)
+        begin = np.cumsum(n) - n
+        many = np.where(n >= words, n - words + 1, 0)  # whole shingles
+        hashes = np.full(max(0, len(flat) - words + 1), words, np.uint64)
+        for k in range(words):
+            hashes = mix64(hashes * FACTORS[0] + flat[k : k + len(hashes)])
+        for b, k, m in zip(begin.tolist(), n.tolist(), many.tolist(), strict=True):
+            if m:
+                out.append(np.unique(hashes[b : b + m]))
+            elif k:
+                h = np.full(1, k, np.uint64)
+                for i in range(b, b + k):
+                    h = mix64(h * FACTORS[0] + flat[i : i + 1])
+                out.append(h)
+            else:
+                out.append(np.empty(0, np.uint64))
     return out
 
 
+def window_names(buf: np.ndarray, at: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """Hashes of the `length` (16 at least) bytes from each place of buf: of 8 bytes, then of twice as many again and again.
+    Other salts give other hashes."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    a, b = FACTORS[salt], FACTORS[salt + 1]
+    n = len(buf) - 7
+    h = np.empty(n, np.uint64)
+    for k in range(8):
+        part = h[k::8]
+        part[:] = buf[k : k + 8 * len(part)].view("<u8")
+    h ^= h >> np.uint64(29)
+    h *= a
+    size = 8
+    while 2 * size < length:
+        h ^= h >> np.uint64(32)
+        h = h[:-size] * a + h[size:]
+        h *= b
+        size *= 2
+    h ^= h >> np.uint64(31)
+    return mix64(h[at] * a + h[at + (length - size)])
+
+
 def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()

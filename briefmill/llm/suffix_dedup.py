@@ -9,7 +9,8 @@ at a time, ties running over the whole depth; only names of one bucket are in me
 
 Texts stay in blocks, which are written once. A block sends each bucket its distinct names, sorted and packed, and
 learns which of them other blocks hold too, so that a string with any number of copies is one entry for each block.
-Names are 64-bit hashes (those of the sample are cut to 40 bits, which can only bring in more suffixes to sort).
+Names are hashes of 56 bits, by which suffixes are sorted, and ties of these are told apart by 32 bits of a second hash
+(those of the sample are cut to 40 bits, which can only bring in more suffixes to sort).
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ from pyspark.sql import functions as F
 
 from briefmill.llm.blocks import open_block, text_blocks
 from briefmill.llm.common import materialize, pack_sorted, unpack_sorted
-from briefmill.llm.shingles import RangeHashes
+from briefmill.llm.shingles import window_names
 
 DEPTH = 200
 #: A difference cover: every residue is the difference of two of these residues.
 PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-SAMPLE_BITS = 40
+SAMPLE_BITS, NAME_BITS = 40, 56
 BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 
-_SENT = "bucket int, block long, names binary, docs binary"
-_ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("names", pa.binary()), ("docs", pa.binary())])
+_SENT = "bucket int, block long, names binary, checks binary, docs binary"
+_ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("names", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary())])
 
 
 class Block:
@@ -58,56 +59,72 @@ class Block:
     def text(self, d: int) -> bytes:
         return self.raw[self.starts[d] : self.starts[d] + self.sizes[d]]
 
-    def _groups(self, docs: np.ndarray) -> Iterator[tuple[np.ndarray, RangeHashes, int]]:
-        """Documents that stand near each other, a MB or so at a time, with hashes of their bytes and the first's place."""
+    def _groups(self, docs: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Documents that stand near each other, a MB or so at a time, and where the first begins and the last ends."""
         at = 0
         while at < len(docs):
             begin, end = self.starts[docs[at]], at + 1
             while end < len(docs) and self.starts[docs[end]] + self.sizes[docs[end]] - begin < 1_000_000:
                 end += 1
-            stop = self.starts[docs[end - 1]] + self.sizes[docs[end - 1]]
-            yield docs[at:end], RangeHashes(self.buf[begin:stop]), int(begin)
+            yield docs[at:end], int(begin), int(self.starts[docs[end - 1]] + self.sizes[docs[end - 1]])
             at = end
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the cover sample of all first documents, and their names."""
         reach = self.depth - PERIOD + 1
         places, names = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for docs, hashes, base in self._groups(self.docs[self.is_first]):
+        for docs, begin, stop in self._groups(self.docs[self.is_first]):
             at = np.concatenate([
                 self.starts[d] + self.cover[: np.searchsorted(self.cover, self.sizes[d] - reach, "right")] for d in docs
             ])
             places.append(at)
-            names.append(hashes(at - base, at - base + reach))
+            names.append(window_names(self.buf[begin:stop], at - begin, reach))
         return np.concatenate(places), np.concatenate(names)
 
-    def candidates(self, repeated: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the suffixes of docs with a repeated sampled suffix (positions) in reach, and their names."""
+    def candidates(self, repeated: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the suffixes of docs with a repeated sampled suffix (positions) in reach, their names and checks."""
         edge = np.zeros(len(self.buf) + 1, np.int32)
         doc = np.searchsorted(self.starts, repeated, "right") - 1
         low = np.maximum(repeated - (PERIOD - 1), self.starts[doc])
         np.add.at(edge, low, 1)
         np.add.at(edge, repeated + 1, -1)
         near = np.cumsum(edge[:-1]) > 0
-        places, names = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for group, hashes, base in self._groups(docs):
+        places, names, checks = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, "<u4")]
+        for group, begin, stop in self._groups(docs):
             at = np.concatenate([
                 self.starts[d] + np.flatnonzero(near[self.starts[d] : self.starts[d] + self.sizes[d] - self.depth + 1]) for d in group
             ])
+            if not len(at):
+                continue
+            # only the bytes within these suffixes
+            edge = np.zeros(stop - begin + 1, np.int32)
+            np.add.at(edge, at - begin, 1)
+            np.add.at(edge, at - begin + self.depth, -1)
+            read = np.cumsum(edge[:-1]) > 0
+            buf, inside = self.buf[begin:stop][read], (np.cumsum(read) - 1)[at - begin]
             places.append(at)
-            names.append(hashes(at - base, at - base + self.depth))
-        return np.concatenate(places), np.concatenate(names)
+            names.append(window_names(buf, inside, self.depth) >> np.uint64(64 - NAME_BITS))
+            checks.append((window_names(buf, inside, self.depth, 2) >> np.uint64(32)).astype("<u4"))
+        return np.concatenate(places), np.concatenate(names), np.concatenate(checks)
 
 
-def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct names, for each name its place among them, and which of them occur twice here."""
+def _sorted(names: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The order of names, ties by their checks."""
     order = np.argsort(names, kind="stable")
-    ranked = names[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, bool)
+    ranked, tied = names[order], checks[order]
+    same = ranked[1:] == ranked[:-1]
+    return np.lexsort((checks, names)) if (same & (tied[1:] != tied[:-1])).any() else order
+
+
+def _distinct(names: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct names with their checks, for each name its place among them, and which of them occur twice here."""
+    order = _sorted(names, checks)
+    ranked, tied = names[order], checks[order]
+    new = np.concatenate([[True], (ranked[1:] != ranked[:-1]) | (tied[1:] != tied[:-1])]) if len(ranked) else np.empty(0, bool)
     place = np.empty(len(names), np.int64)
     place[order] = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
-    return ranked[begin], place, np.diff(np.concatenate([begin, [len(ranked)]])) > 1
+    return ranked[begin], tied[begin], place, np.diff(np.concatenate([begin, [len(ranked)]])) > 1
 
 
 def _cuts(names: np.ndarray, buckets: int, bits: int) -> np.ndarray:
@@ -116,13 +133,14 @@ def _cuts(names: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(names, np.array(bounds, np.uint64)), [len(names)]])
 
 
-def _send(block: int, names: np.ndarray, bits: int, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
-    rows: list[list] = [[], [], [], []]
+def _send(block: int, names: np.ndarray, checks: np.ndarray, bits: int, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    rows: list[list] = [[], [], [], [], []]
     cut, cut_docs = _cuts(names, buckets, bits), _cuts(docs, buckets, 64)
     for b in range(buckets):
-        part, part_docs = names[cut[b] : cut[b + 1]], docs[cut_docs[b] : cut_docs[b + 1]]
-        if len(part) or len(part_docs):
-            for column, x in zip(rows, (b, block, pack_sorted(part), part_docs.tobytes()), strict=True):
+        part, part_docs = slice(cut[b], cut[b + 1]), docs[cut_docs[b] : cut_docs[b + 1]]
+        if part.start < part.stop or len(part_docs):
+            row = b, block, pack_sorted(names[part]), checks[part].tobytes(), part_docs.tobytes()
+            for column, x in zip(rows, row, strict=True):
                 column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _ROW, strict=True)], schema=_ROW)
 
@@ -131,22 +149,22 @@ def _bucket(table: pa.Table) -> pa.Table:
     """Sort one bucket. Answers hold a bit for each name, set where another block has it, and a byte for each document:
     0 alone, 1 first of several, 2 a later one."""
     rows = table.to_pylist()
-    names = [unpack_sorted(r["names"]) for r in rows]
-    every = np.sort(np.concatenate(names))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    own = [unpack_sorted(r["names"]) for r in rows]
+    names, checks = np.concatenate(own), np.concatenate([np.frombuffer(r["checks"], "<u4") for r in rows])
+    if not len(checks):  # the sample's names have none
+        checks = np.zeros(len(names), "<u4")
+    hit = (many := _distinct(names, checks))[3][many[2]]
     first: dict[int, list[int]] = {}
     for r in rows:
         for d in np.frombuffer(r["docs"], np.uint64).tolist():
             first.setdefault(d, []).append(r["block"])
-    out = []
-    for r, own in zip(rows, names, strict=True):
-        at = np.searchsorted(twice, own)
-        hit = np.zeros(len(own), bool)
-        inside = at < len(twice)
-        hit[inside] = twice[at[inside]] == own[inside]
+    out, at = [], 0
+    for r, part in zip(rows, own, strict=True):
         docs = [first[d] for d in np.frombuffer(r["docs"], np.uint64).tolist()]
         state = bytes(0 if len(x) == 1 else 1 if min(x) == r["block"] else 2 for x in docs)
-        out.append({"bucket": r["bucket"], "block": r["block"], "names": np.packbits(hit).tobytes(), "docs": state})
+        bits = np.packbits(hit[at : at + len(part)]).tobytes()
+        at += len(part)
+        out.append({"bucket": r["bucket"], "block": r["block"], "names": bits, "checks": b"", "docs": state})
     return pa.Table.from_pylist(out, schema=_ROW)
 
 
@@ -173,13 +191,14 @@ class _Round:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 b = self.open(row)
-                names = _distinct(b.sample()[1] >> self.cut)[0]
-                yield _send(row["block"], names, SAMPLE_BITS, b.doc_names, self.buckets)
+                names = np.unique(b.sample()[1] >> self.cut)
+                yield _send(row["block"], names, np.empty(0, "<u4"), SAMPLE_BITS, b.doc_names, self.buckets)
 
     def _after_first(self, b: Block, answers: list[dict] | None):
-        """Positions and names of the suffixes to sort, and which documents are copies of another."""
+        """Positions, names and checks of the suffixes to sort, and which documents are copies of another."""
         places, names = b.sample()
-        own, place, twice = _distinct(names >> self.cut)
+        own, place, many = np.unique(names >> self.cut, return_inverse=True, return_counts=True)
+        twice = many > 1
         repeated = places[(twice | _answers(answers, _cuts(own, self.buckets, SAMPLE_BITS)))[place]]
         state = np.zeros(len(b.doc_names), np.uint8)
         cut = _cuts(b.doc_names, self.buckets, 64)
@@ -195,8 +214,9 @@ class _Round:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                _, names, _ = self._after_first(self.open(row), row["answers"])
-                yield _send(row["block"], _distinct(names)[0], 64, np.empty(0, np.uint64), self.buckets)
+                _, names, checks, _ = self._after_first(self.open(row), row["answers"])
+                names, checks = _distinct(names, checks)[:2]
+                yield _send(row["block"], names, checks, NAME_BITS, np.empty(0, np.uint64), self.buckets)
 
     def last(self, texts: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +228,9 @@ class _Round:
         return run
 
     def _removed(self, b: Block, row: dict, texts: bool) -> pa.RecordBatch:
-        places, names, copies = self._after_first(b, row["answers"])
-        own, place, twice = _distinct(names)
-        begin = places[(twice | _answers(row["again"], _cuts(own, self.buckets, 64)))[place]]
+        places, names, checks, copies = self._after_first(b, row["answers"])
+        own, _, place, twice = _distinct(names, checks)
+        begin = places[(twice | _answers(row["again"], _cuts(own, self.buckets, NAME_BITS)))[place]]
         edge = np.zeros(len(b.buf) + 1, np.int32)
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + self.depth, -1)

@@ -583,7 +583,54 @@ def test_local_search_empties_bins():
     rng = np.random.default_rng(0)
     many = rng.integers(1, 2048, 3000)
     number, _ = pack_sizes(many, 2048)
-    assert number.max() + 1 <= math.ceil(many.sum() / 2048) * 1.02 + 1
+
+    def least(size):  # Martello and Toth's bound L2: no packing has fewer bins
+        best = 0
+        for k in range(2048 // 2 + 1):
+            large, middle, small = size[size > 2048 - k], size[(size > 1024) & (size <= 2048 - k)], size[(size >= k) & (size <= 1024)]
+            best = max(best, len(large) + len(middle) + max(0, -(-(small.sum() - (len(middle) * 2048 - middle.sum())) // 2048)))
+        return best
+
+    assert number.max() + 1 <= least(many) * 1.005 + 1
+
+
+def test_names_of_regular_texts_differ(spark):
+    """Two texts that hashes by polynomials modulo a power of two can't tell apart."""
+    from briefmill.llm.jaccard_join import join
+    from briefmill.llm.language_model import score_texts
+    from briefmill.llm.shingles import window_names
+
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other), (0, one), (4, one), (5, other), (7, "x")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in join(docs).collect()}
+    assert [found[i]["component_id"] for i in (0, 1, 4, 2, 5)] == [0, 0, 0, 2, 2]
+    learnt = {r["doc_id"]: r for r in score_texts(docs.filter("doc_id <> 5")).collect()}
+    assert learnt[1]["n_known"] == 2 and learnt[1]["base_score"] != learnt[2]["base_score"]
+    buf = np.frombuffer((one + other).encode(), np.uint8)
+    assert len(np.unique(window_names(buf, np.array([0, 1024]), 1024))) == 2
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from briefmill.llm.packing import WordTokenizer, default_tokenizer
+
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        form = json.load(f)
+    form["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(form))
+    cased, texts = WordTokenizer(str(path)), ["One two, Three", "", "ONE  two"]
+    assert not cased.by_word
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in cased.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert cased.encode([t.encode() for t in texts]) == want
+    known = WordTokenizer(default_tokenizer())
+    texts = ["One two, Three.. x.y it's", "É été STRASSE ß Σίσυφος ΣΑΣ 12,5 日本", "a\u0301b ﬁne", ""]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert known.by_word and known.encode([t.encode() for t in texts]) == want
+    known.held = known.LIMIT + 1  # begins anew, with the same ids
+    assert known.encode([t.encode() for t in texts]) == want and known.held < known.LIMIT
 
 
 def test_packing_odd(spark, empty, odd):

@@ -26,17 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
-    The shuffle files of the write are removed as it ends, since nothing will read them again.
+    The shuffle files of the write are removed as it ends, since nothing will read them again. Options are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -52,9 +52,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only. Texts of ASCII alone take the faster built-in."""
+    """Lower-case A-Z only. Texts without other letters that have a lower case take the faster built-in."""
     plain = F.octet_length(c) == F.char_length(c)
-    return F.when(plain, F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
+    others = F.regexp_replace(c, r"[\x00-\x7F]+", "")
+    return F.when(plain | (F.lower(others) == others), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def word_count(c: Column) -> Column:

@@ -10,17 +10,22 @@ costs a few pairs a line, and no candidate of a line that stays is left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from briefmill.llm.common import ascii_lower, discard, materialize
 
-#: Rarity is counted in ROWS x PLACES buckets, a byte each.
+#: Rarity is counted in ROWS x PLACES buckets, a number each.
 ROWS, PLACES = 512, 2048
 #: Neighbours of a list that a line is held against first, lines that one neighbourhood's sort may hold, and parts in
 #: which the full pairing goes through the tokens, so that a part's shuffle is a fraction of the lists.
-NEAREST, SORTED_LINES, TOKEN_PARTS = 4, 250_000, 2
+NEAREST, SORTED_LINES, TOKEN_PARTS = 3, 250_000, 3
+
+#: Words repeat, so that a file's distinct ones as a dictionary and places in it take less than half of the numbers.
+WIDE = {"parquet.dictionary.page.size": str(32 << 20)}
 
 
 def _words(line: Column) -> Column:
@@ -38,29 +43,32 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+#: Bits of a token that hold its hash; above them stands its class of rarity.
+HASH_BITS = 56
+
+
 def _tokens(line: Column) -> Column:
     """Sorted hashes of the distinct words of a line, A-Z lower-cased."""
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(_words(line), ""), lambda w: F.xxhash64(w))))
+    number = lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS)
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(line), number)), number(F.lit(""))))
 
 
 def _rarity(read: DataFrame) -> DataFrame:
     """One row with arrays of classes: a token's class grows with the count of its bucket. Its size is fixed."""
-    bucket = F.pmod("t", F.lit(ROWS * PLACES)).alias("id")
+    bucket = F.col("t").bitwiseAND(F.lit(ROWS * PLACES - 1)).alias("id")
     counts = read.select(F.explode("tokens").alias("t")).groupBy(bucket).count()
     counts = counts.unionByName(read.sparkSession.range(ROWS * PLACES).select("id", F.lit(0).cast("long").alias("count")))
-    rank = F.least(F.round(3 * F.log2(F.sum("count") + 1)), F.lit(127)).cast("tinyint")
+    rank = F.shiftleft(F.least(F.round(3 * F.log2(F.sum("count") + 1)), F.lit(127)).cast("long"), HASH_BITS)
     ranks = counts.groupBy("id").agg(rank.alias("c")).select(F.expr(f"id div {PLACES}").alias("row"), F.struct("id", "c").alias("s"))
-    rows = ranks.groupBy("row").agg(F.sort_array(F.collect_list("s")).getField("c").alias("classes"))  # PLACES bytes
+    rows = ranks.groupBy("row").agg(F.sort_array(F.collect_list("s")).getField("c").alias("classes"))  # PLACES numbers
     rows = rows.agg(F.sort_array(F.collect_list(F.struct("row", "classes"))).getField("classes").alias("classes"))
-    return materialize(rows, "rarity")  # ROWS * PLACES bytes
+    return materialize(rows.select(F.flatten("classes").alias("classes")), "rarity")  # ROWS * PLACES numbers
 
 
 def _ranked(tokens: Column, classes: Column) -> Column:
-    """Tokens in order of rarity, as numbers: the class, then 56 bits of the hash."""
-    row = lambda t: F.shiftright(F.pmod(t, F.lit(ROWS * PLACES)), PLACES.bit_length() - 1).cast("int")
-    place = lambda t: t.bitwiseAND(F.lit(PLACES - 1)).cast("int")
-    rank = lambda t: F.get(F.get(classes, row(t)), place(t)).cast("long")
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(rank(t), 56).bitwiseOR(t.bitwiseAND(F.lit((1 << 56) - 1)))))
+    """Tokens in order of rarity: the class stands above the hash."""
+    bucket = lambda t: t.bitwiseAND(F.lit(ROWS * PLACES - 1)).cast("int")
+    return F.sort_array(F.transform(tokens, lambda t: F.coalesce(F.get(classes, bucket(t)), F.lit(0)).bitwiseOR(t)))
 
 
 def _needed(percent: int) -> str:
@@ -81,6 +89,16 @@ def _entries(prefixes: DataFrame, *more: str) -> DataFrame:
     return prefixes.select("id", "n", "outline", *more, F.posexplode("prefix").alias("at", "t"))
 
 
+def _by_tokens(prefixes: DataFrame, met: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
+    """Distinct pairs (a, b) that met() finds in the lists, which go through it in TOKEN_PARTS parts."""
+    pairs = None
+    for part in range(TOKEN_PARTS):
+        listed = _entries(prefixes, *more).filter(F.pmod(F.col("t"), F.lit(TOKEN_PARTS)) == part)
+        got = materialize(met(listed).distinct(), "pairs")
+        pairs = got if pairs is None else pairs.unionByName(got)
+    return materialize(pairs.distinct(), "met")
+
+
 def _verified(pairs: DataFrame, read: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """The later line's id of each pair (a, b) of ids that match, b before a; lines of one place aren't before each other."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -98,7 +116,7 @@ def _verified(pairs: DataFrame, read: DataFrame, firsts: DataFrame, percent: int
 def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, line_no of the lines that match an earlier one: sets of words (A-Z lower-cased) with a Jaccard similarity
     of at least percent/100. Earlier is by doc_id, then line number; whether the earlier line is itself removed makes no
-    difference. Words are told apart by 64-bit hashes.
+    difference. Words are told apart by 56-bit hashes.
 
     Lines without words match nothing; a null or empty text has no such lines. Rows that repeat a doc_id are one
     document, whose lines of the same number are not earlier than each other; rows with a null doc_id are left as they
@@ -108,7 +126,7 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     # the id, which is not deterministic, keeps the filter from being pushed below, where it would tokenize again
     read = every.select(F.monotonically_increasing_id().alias("line"), "doc_id", "line_no", _tokens(F.col("line")).alias("tokens"))
     read = read.filter(F.size("tokens") > 0)
-    read = materialize(read.withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.lit("k2"), F.col("tokens"))}), "lines")
+    read = materialize(read.withColumns({"k1": F.xxhash64("tokens"), "k2": F.xxhash64(F.lit("k2"), F.col("tokens"))}), "lines", **WIDE)
     # of equal sets the first; ids are in the order of places
     firsts = read.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"))
     firsts = firsts.select("k1", "k2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), F.col("first.line").alias("line"))
@@ -130,28 +148,31 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     # a list's lines by length, in neighbourhoods of bounded size
     parts = max(1, -(-prefixes.count() // SORTED_LINES))
     order = W.partitionBy("t", "_part").orderBy("n", "id")
-    listed = _entries(prefixes).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
     other = F.struct(F.col("id").alias("mid"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("outline").alias("moutline"))
     back = F.array(*[F.lag(other, i).over(order) for i in range(1, NEAREST + 1)])
-    near = listed.withColumn("_b", back).withColumn("_b", F.explode("_b")).select("id", "n", "at", "outline", "_b.*")
-    near = near.filter(F.expr("mid IS NOT NULL AND " + _candidates(percent)))
-    near = near.select(F.greatest("id", "mid").alias("a"), F.least("id", "mid").alias("b")).distinct()
-    near = materialize(near, "nearest")
+
+    def neighbours(listed: DataFrame) -> DataFrame:
+        listed = listed.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+        met = listed.withColumn("_b", back).withColumn("_b", F.explode("_b")).select("id", "n", "at", "outline", "_b.*")
+        met = met.filter(F.expr("mid IS NOT NULL AND " + _candidates(percent)))
+        return met.select(F.greatest("id", "mid").alias("a"), F.least("id", "mid").alias("b"))
+
+    near = _by_tokens(prefixes, neighbours)
     found = _verified(near, read, firsts, percent)
 
     marked = prefixes.join(found.withColumn("rest", F.lit(False)), "id", "left")
     marked = materialize(marked.withColumn("rest", F.coalesce("rest", F.lit(True))), "marked")
     discard(prefixes)
-    pairs = None
-    for part in range(TOKEN_PARTS):
-        mine = _entries(marked, "rest").filter(F.pmod(F.xxhash64("t"), F.lit(TOKEN_PARTS)) == part)
-        left = mine.filter("rest").drop("rest")
-        right = mine.select("t", F.col("id").alias("mid"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("outline").alias("moutline"))
-        met = left.join(right, "t").filter(F.expr("mid < id AND " + _candidates(percent))).select(F.col("id").alias("a"), F.col("mid").alias("b"))
-        met = materialize(met.distinct(), "pairs")
-        pairs = met if pairs is None else pairs.unionByName(met)
+
+    def earlier(listed: DataFrame) -> DataFrame:
+        left = listed.filter("rest").drop("rest")
+        right = listed.select("t", F.col("id").alias("mid"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("outline").alias("moutline"))
+        met = left.join(right, "t").filter(F.expr("mid < id AND " + _candidates(percent)))
+        return met.select(F.col("id").alias("a"), F.col("mid").alias("b"))
+
+    pairs = _by_tokens(marked, earlier, "rest")
     discard(marked)
-    rest = materialize(pairs.distinct().join(near, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(pairs.join(near, ["a", "b"], "left_anti"), "rest")
     found = materialize(found.unionByName(_verified(rest, read, firsts, percent)).withColumn("near", F.lit(True)), "matches")
 
     places = firsts.join(found, "id", "left").select("k1", "k2", "d", "l", "near")

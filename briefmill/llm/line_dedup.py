@@ -105,10 +105,13 @@ def _verified(pairs: DataFrame, read: DataFrame, firsts: DataFrame, percent: int
     wanted = firsts.join(ids, "id", "left_semi").select("id", "line", "d", "l")
     sets = materialize(read.select("line", "tokens").join(wanted, "line").drop("line"), "token_sets")
     side = lambda c: sets.select(*[F.col(x).alias(c + x) for x in sets.columns])
-    both = pairs.join(side("a"), pairs["a"] == F.col("aid")).join(side("b"), pairs["b"] == F.col("bid"))
-    both = both.withColumn("_o", F.size(F.array_intersect("atokens", "btokens")))
     match = F.expr(f"100 * _o >= {percent} * (size(atokens) + size(btokens) - _o) AND (ad <> bd OR al <> bl)")
-    found = materialize(both.filter(match).select(F.col("a").alias("id")).distinct(), "found")
+    found = None
+    for part in range(TOKEN_PARTS):  # a part's sets move at a time
+        both = pairs.filter(F.pmod("a", F.lit(TOKEN_PARTS)) == part).join(side("a"), F.col("a") == F.col("aid"))
+        both = both.join(side("b"), F.col("b") == F.col("bid")).withColumn("_o", F.size(F.array_intersect("atokens", "btokens")))
+        got = materialize(both.filter(match).select(F.col("a").alias("id")).distinct(), "found")
+        found = got if found is None else found.unionByName(got)
     discard(sets)
     return found
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,17 +27,23 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f reads it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def canonical_number(c: Column) -> Column:
     """An amount as the digits of its whole part; null where c isn't a number with currency, separators or a multiplier."""
-    t = strip(F.replace(F.regexp_replace(c, f"(?i){fixed.CURRENCY}", ""), F.lit(","), F.lit("")))
-    multiple = choose(F.lower(F.regexp_extract(t, f"(?i){fixed.MULTIPLE}", 2)), fixed.MULTIPLIERS)
-    number = F.try_cast if hasattr(F, "try_cast") else None
-    as_double = (lambda x: number(x, "double")) if number else (lambda x: x.try_cast("double"))
-    scaled = as_double(F.regexp_extract(t, f"(?i){fixed.MULTIPLE}", 1)) * multiple
-    plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), as_double(t))
-    value = F.when(t.rlike(f"(?i){fixed.MULTIPLE}"), scaled).otherwise(plain)
-    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))
-    return F.when(t != "", whole.cast("string"))
+
+    def number(t: Column) -> Column:
+        multiple = choose(F.lower(F.regexp_extract(t, f"(?i){fixed.MULTIPLE}", 2)), fixed.MULTIPLIERS)
+        scaled = F.regexp_extract(t, f"(?i){fixed.MULTIPLE}", 1).try_cast("double") * multiple
+        plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))
+        value = F.when(t.rlike(f"(?i){fixed.MULTIPLE}"), scaled).otherwise(plain)
+        whole = let(value, lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)))
+        return F.when(t != "", whole.cast("string"))
+
+    return let(strip(F.replace(F.regexp_replace(c, f"(?i){fixed.CURRENCY}", ""), F.lit(","), F.lit(""))), number)
 
 
 def words_to_digits(c: Column) -> Column:
@@ -51,8 +57,7 @@ def normal_form(c: Column) -> Column:
     v = F.regexp_replace(strip(F.lower(c)), r"\(\d+\)", "")
     v = words_to_digits(v)
     v = F.regexp_replace(F.regexp_replace(v, r"^state of\s+", ""), r"\s+state$", "")
-    v = squeeze(v)
-    return F.coalesce(canonical_number(v), v)
+    return let(squeeze(v), lambda v: F.coalesce(canonical_number(v), v))
 
 
 def _first(c: Column, pattern: str) -> Column:
@@ -157,3 +162,13 @@ def file_name(title: Column) -> Column:
 def words(c: Column) -> Column:
     """Tokens where no tokenizer is given: runs of anything but ASCII white space."""
     return F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+
+
+def with_defaults(c: Column, default: Column) -> Column:
+    """A payload's field, or the default where it is null."""
+    return F.coalesce(c, default)
+
+
+def cut(c: Column, most: int) -> Column:
+    """The first characters of a text, as reports and answer tables show it."""
+    return F.substring(c, 1, most)

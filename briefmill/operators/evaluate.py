@@ -91,3 +91,49 @@ def verdicts(rows: DataFrame) -> DataFrame:
         F.count("*").alias("spans"), valid.alias("valid"), F.count_if(F.col("verdict") == "SAFE").alias("safe"),
         F.coalesce(F.round(F.count_if(F.col("verdict") == "SAFE") / F.nullif(valid, F.lit(0)), 3), F.lit(0.0)).alias("safe_rate"),
     )
+
+
+def failure_counts(rows: DataFrame) -> DataFrame:
+    """How often each criterion failed (failed: an array of names), most often first."""
+    names = rows.select(F.explode("failed").alias("criterion"))
+    return names.groupBy("criterion").agg(F.count("*").alias("failures")).orderBy(F.desc("failures"), "criterion")
+
+
+def lookup_any_case(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows with the columns of table (name, place, any more) whose name equals the key without regard to case; of names
+    that are equal so the last by place counts."""
+    rest = [c for c in table.columns if c not in ("name", "place")]
+    last = table.groupBy(F.lower("name").alias("_k")).agg(F.max_by(F.struct(*rest), "place").alias("_v"))
+    out = rows.join(last, F.lower(F.col(key)) == F.col("_k"), "left")
+    return out.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def label_category(rows: DataFrame, label: str, categories: DataFrame) -> DataFrame:
+    """rows with category: the name (categories: name, place) that equals the label, else the first that does without regard
+    to case, else the label itself."""
+    exact = categories.select(F.col("name").alias("_exact")).distinct()
+    folded = categories.groupBy(F.lower("name").alias("_k")).agg(F.min_by("name", "place").alias("_folded"))
+    out = rows.join(exact, F.col(label) == F.col("_exact"), "left").join(folded, F.lower(F.col(label)) == F.col("_k"), "left")
+    return out.select(*rows.columns, F.coalesce("_exact", "_folded", label).alias("category"))
+
+
+def present_categories(rows: DataFrame, truths: DataFrame, category: str) -> DataFrame:
+    """The rows whose category has a truth at all."""
+    return rows.join(truths.select(category).distinct(), category, "left_semi")
+
+
+def compare_trim(replies: DataFrame, trim) -> DataFrame:
+    """Metrics of the same cached replies (prediction, truth, found) as they are and with trim() applied."""
+    plain = extraction_metrics(scored_answers(replies)).withColumn("trimmed", F.lit(False))
+    cut = extraction_metrics(scored_answers(replies.withColumn("prediction", trim(F.col("prediction"))))).withColumn("trimmed", F.lit(True))
+    return plain.unionByName(cut)
+
+
+def batches(files: DataFrame, size: int = 10, most: int = 30) -> DataFrame:
+    """The first files by name (path), with the number of the batch that each is submitted in."""
+    chosen = files.orderBy("path").limit(most)
+    return chosen.withColumn("batch", F.expr(f"(row_number() OVER (ORDER BY path) - 1) div {size}"))  # `most` rows
+
+
+def by_f1(categories: DataFrame, group: str) -> DataFrame:
+    return categories.orderBy(F.desc("f1_mean"), group)

@@ -114,3 +114,38 @@ def across_documents(ranked: DataFrame, per_document: int = fixed.QA_PER_DOCUMEN
     order = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "scope", "ordinal")
     rows = ranked.filter(F.col("score_rank") <= per_document).withColumn("place", F.row_number().over(order))
     return rows.filter(F.col("place") <= total)
+
+
+def fuse_by_position(lists: DataFrame, group: str = "item", k: int = fixed.RRF_K) -> DataFrame:
+    """Several ranked lists of one item (group, query_no, ordinal, rank) as one: only positions count, 1/(k + rank) added
+    over the lists, ranks from 0; ties go to the earlier chunk."""
+    total = lists.groupBy(group, "ordinal").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))), 9).alias("rrf_score"))
+    order = W.partitionBy(group).orderBy(F.desc("rrf_score"), "ordinal")
+    return total.withColumn("rank", F.row_number().over(order) - 1)
+
+
+def source_chunk(selected: DataFrame, group: str = "query_id") -> DataFrame:
+    """The chunk that stands first in the document among those selected (place, chunk_id), whatever its score."""
+    return selected.groupBy(group, "scope").agg(F.min_by("chunk_id", F.struct("place", "score_rank")).alias("source_chunk_id"))
+
+
+def context_text(parent_text, child_text) -> "F.Column":
+    """What a model reads: the parent's text, or the child's where there is no parent."""
+    return F.coalesce(parent_text, child_text)
+
+
+def payloads(rows: DataFrame, doc_id) -> DataFrame:
+    """Hits with their payload's gaps filled: text empty, page 0, the searched document."""
+    return rows.withColumns({
+        "text": F.coalesce("text", F.lit("")), "page_number": F.coalesce("page_number", F.lit(0)), "doc_id": F.coalesce("doc_id", doc_id),
+    })
+
+
+def audit(ranked: DataFrame, selected: DataFrame, *more: str) -> DataFrame:
+    """A row for each query and scope of what was retrieved: the ranked candidates as JSON, those selected, and whether all
+    selected are among the ranked."""
+    every = ranked.groupBy("query_id", "scope").agg(F.sort_array(F.collect_list(F.struct("rank", "ordinal", "rrf_score", *more))).alias("_all"))
+    chosen = selected.groupBy("query_id", "scope").agg(F.sort_array(F.collect_set("ordinal")).alias("selected"))
+    rows = every.join(chosen, ["query_id", "scope"], "left").withColumn("selected", F.coalesce("selected", F.array().cast("array<long>")))
+    inside = F.size(F.array_except("selected", F.col("_all.ordinal"))) == 0
+    return rows.select("query_id", "scope", F.size("_all").alias("candidates"), "selected", inside.alias("selected_are_ranked"), F.to_json("_all").alias("all_ranked_chunks"))

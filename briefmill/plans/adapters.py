@@ -77,7 +77,7 @@ lines AS (SELECT l_suppkey AS document_id, ({sql_list(fixed.CATEGORIES)})[(l_par
   l_returnflag <> 'R' AS found, ({sql_list(TEXTS)})[(l_orderkey % 4)::INT + 1] AS clause_text,
   CASE WHEN l_returnflag <> 'R' THEN ({sql_list(VALUES)})[((l_orderkey + l_linenumber) % 8)::INT + 1] END AS normalized_value,
   round(1 - 8 * l_discount, 4) AS confidence, {", ".join(ORDER)} FROM lineitem),
-clauses AS (SELECT *, document_id || '/' || clause_type AS source_chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, clause_type
+clauses AS MATERIALIZED (SELECT *, document_id || '/' || clause_type AS source_chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, clause_type
   ORDER BY {", ".join(f"{c} DESC" for c in ORDER)}) AS rn FROM lines) WHERE rn = 1)"""
 
 TOKENS_SQL = "list_filter(regexp_split_to_array({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
@@ -95,7 +95,7 @@ parents AS (SELECT doc_id, page_number, i::INT AS page_parent_index, t[i * 2048
   FROM (SELECT *, unnest(range(0, (len(t) - 1) // 2048 + 1)) AS i FROM page_tokens WHERE len(t) > 0)),
 children AS (SELECT doc_id, page_number, page_parent_index, parent_id, c::INT AS child_index, tokens[c * 205 + 1:c * 205 + 256] AS tokens
   FROM (SELECT *, unnest(range(0, CASE WHEN len(tokens) <= 256 THEN 1 ELSE ceil((len(tokens) - 256) / 205)::BIGINT + 1 END)) AS c FROM parents)),
-chunks AS (SELECT x.*, d.source AS scope, len(x.tokens) AS token_count, x.doc_id * {STRIDE} + x.chunk_index AS ordinal, x.parent_id AS parent,
+chunks AS MATERIALIZED (SELECT x.*, d.source AS scope, len(x.tokens) AS token_count, x.doc_id * {STRIDE} + x.chunk_index AS ordinal, x.parent_id AS parent,
   x.doc_id * {STRIDE} + page_number * 100 + page_parent_index AS parent_order FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, page_parent_index, child_index) - 1 AS chunk_index FROM children) x
   JOIN documents d USING (doc_id))"""
@@ -108,8 +108,8 @@ def search_sql(queries: str) -> str:
     """CTEs up to fused, for a query with query_id and text."""
     return f"""{CHUNKS_SQL},
 queries AS (SELECT query_id, {TOKENS_SQL.format("text")} AS tokens FROM ({queries})),
-qv AS (SELECT query_id, {_VECTOR.format("s")} AS v FROM (SELECT query_id, {_SLOTS.format("tokens")} AS s FROM queries)),
-cv AS (SELECT scope, ordinal, {_VECTOR.format("s")} AS v FROM (SELECT scope, ordinal, {_SLOTS.format("tokens")} AS s FROM chunks)),
+qv AS MATERIALIZED (SELECT query_id, {_VECTOR.format("s")} AS v FROM (SELECT query_id, {_SLOTS.format("tokens")} AS s FROM queries)),
+cv AS MATERIALIZED (SELECT scope, ordinal, {_VECTOR.format("s")} AS v FROM (SELECT scope, ordinal, {_SLOTS.format("tokens")} AS s FROM chunks)),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY dense_score DESC, ordinal) - 1 AS dense_rank FROM
   (SELECT query_id, scope, ordinal, list_dot_product(qv.v, cv.v) / (sqrt(list_dot_product(qv.v, qv.v)) * sqrt(list_dot_product(cv.v, cv.v))) AS dense_score
    FROM qv, cv WHERE list_sum(qv.v) > 0 AND list_sum(cv.v) > 0)) WHERE dense_rank < 20),
@@ -117,5 +117,5 @@ qp AS (SELECT query_id, token, count(*)::DOUBLE AS w FROM (SELECT query_id, unne
 cp AS (SELECT scope, ordinal, token, count(*)::DOUBLE AS w FROM (SELECT scope, ordinal, unnest(tokens) AS token FROM chunks) GROUP BY ALL),
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY sparse_score DESC, ordinal) - 1 AS sparse_rank FROM
   (SELECT query_id, scope, ordinal, sum(qp.w * cp.w) AS sparse_score FROM qp JOIN cp USING (token) GROUP BY ALL)) WHERE sparse_rank < 20),
-fused AS (SELECT *, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS rrf_score
+fused AS MATERIALIZED (SELECT *, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) AS rrf_score
   FROM dense FULL JOIN (SELECT * FROM sparse WHERE (query_id, scope) IN (SELECT (query_id, scope) FROM dense)) USING (query_id, scope, ordinal))"""

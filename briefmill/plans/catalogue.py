@@ -464,3 +464,102 @@ def review_brief(spark, sf):
     errors = spark.createDataFrame([], "message string")
     documents = rows.select("document_id").distinct()
     return report.brief("job", documents, risk.flags(rows), conflicts.contradictions(rows), errors, "2020-01-01 00:00 UTC")
+
+
+# Lists, lookups and stores.
+_LISTS = """lists AS (SELECT item, query_no, ordinal, row_number() OVER (PARTITION BY item, query_no ORDER BY p DESC, ordinal) - 1 AS rank
+ FROM (SELECT l_suppkey AS item, l_linenumber AS query_no, l_partkey AS ordinal, max(l_extendedprice) AS p FROM lineitem GROUP BY ALL) QUALIFY rank < 20)"""
+
+
+@query(f"""WITH {_LISTS}, f AS (SELECT item, ordinal, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM lists GROUP BY ALL)
+ SELECT *, row_number() OVER (PARTITION BY item ORDER BY rrf_score DESC, ordinal) - 1 AS rank FROM f""")
+def positional_fusion(spark, sf):
+    from pyspark.sql import Window as W
+
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("item"), F.col("l_linenumber").alias("query_no"), F.col("l_partkey").alias("ordinal")).agg(F.max("l_extendedprice").alias("p"))
+    order = W.partitionBy("item", "query_no").orderBy(F.desc("p"), "ordinal")
+    lists = rows.withColumn("rank", F.row_number().over(order) - 1).filter("rank < 20")
+    return retrieval.fuse_by_position(lists).withColumn("rank", F.col("rank").cast("long"))
+
+
+_LABELS = f"(SELECT unnest({sql_list(fixed.CATEGORIES)}) AS name)"
+
+
+@query(f"""WITH c AS (SELECT name, row_number() OVER () AS place FROM {_LABELS}), l AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN lower(name) ELSE 'other ' || name END AS label
+ FROM part JOIN c ON place = p_partkey % {len(fixed.CATEGORIES)} + 1) SELECT p_partkey, label, coalesce((SELECT min(name) FROM c WHERE c.name = label), (SELECT min_by(name, place) FROM c WHERE lower(c.name) = lower(label)), label) AS category FROM l""")
+def label_category(spark, sf):
+    names = spark.createDataFrame([(c, i) for i, c in enumerate(fixed.CATEGORIES, 1)], "name string, place long")
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(fixed.CATEGORIES) + 1).alias("place")).join(names, "place")
+    turn = F.col("p_partkey") % 4
+    label = F.when(turn == 0, F.col("name")).when(turn == 1, F.upper("name")).when(turn == 2, F.lower("name")).otherwise(F.concat(F.lit("other "), F.col("name")))
+    return evaluate.label_category(rows.select("p_partkey", label.alias("label")), "label", names)
+
+
+@query("""WITH t AS (SELECT n_name AS name, n_nationkey AS place, 'q' || n_nationkey AS query FROM nation UNION ALL SELECT lower(n_name), n_nationkey + 100, 'again ' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)
+ SELECT s_suppkey, key, q AS query FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'none' ELSE upper(n_name) END AS key FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ LEFT JOIN (SELECT lower(name) AS k, max_by(query, place) AS q FROM t GROUP BY 1) ON lower(key) = k""")
+def lookup_any_case(spark, sf):
+    """On keys that are equal without regard to case the last entry counts."""
+    nation = table(spark, sf, "nation")
+    once = nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("place"), F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("query"))
+    again = nation.filter("n_nationkey % 2 = 0").select(F.lower("n_name").alias("name"), (F.col("n_nationkey") + 100).cast("long").alias("place"), F.concat(F.lit("again "), F.col("n_nationkey").cast("string")).alias("query"))
+    key = F.when(F.col("s_suppkey") % 5 == 0, "none").otherwise(F.upper("n_name"))
+    rows = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", key.alias("key"))
+    return evaluate.lookup_any_case(rows, "key", once.unionByName(again))
+
+
+_CRITERIA = {"taxed": "l_tax > 0.05", "returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "dear": "l_extendedprice > 50000"}
+
+
+@query("SELECT criterion, count(*) AS failures FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS criterion FROM lineitem WHERE {v}" for k, v in _CRITERIA.items()) + ") GROUP BY 1")
+def failed_criteria(spark, sf):
+    failed = F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in _CRITERIA.items()]))
+    return evaluate.failure_counts(table(spark, sf, "lineitem").select(failed.alias("failed")))
+
+
+@query("SELECT array_to_string(list(source ORDER BY o), ',') AS names FROM (SELECT source, min(doc_id) AS o FROM documents WHERE source IS NOT NULL GROUP BY 1)")
+def names_in_order_of_sight(spark, sf):
+    found = report.in_order_of_sight(table(spark, sf, "documents").filter("source IS NOT NULL"), "doc_id", "source")
+    return found.select(F.array_join("names", ",").alias("names"))
+
+
+@query(f"""WITH {CLAUSES_SQL}, {VALUE_SQL} SELECT * FROM value_conflicts WHERE document_id_a % 5 = 0 AND document_id_b % 5 = 0""")
+def conflicts_of_job(spark, sf):
+    rows = ad.clause_table(spark, sf)
+    return conflicts.of_job(conflicts.value_conflicts(rows, normalized=False), rows.filter("document_id % 5 = 0").select("document_id").distinct())
+
+
+def _store(spark):
+    import uuid
+
+    from briefmill.sources.stores import Store
+
+    return Store(spark, (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/{uuid.uuid4().hex}")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang <> 'en'")
+def rows_after_partition_delete(spark, sf):
+    """A document's chunks are a partition, which goes without reading the others; here languages stand for documents."""
+    store = _store(spark)
+    store.replace(table(spark, sf, "documents").filter("lang IS NOT NULL").select("doc_id", "lang"), "chunks", "lang")
+    store.delete("chunks", "lang", "en")
+    return store.read("chunks", "doc_id long, lang string")
+
+
+@query("SELECT doc_id, source AS prompt, CASE WHEN source LIKE '%a%' THEN upper(source) END AS raw FROM documents WHERE source IS NOT NULL")
+def replies_through_cache(spark, sf):
+    """Prompts are asked for once each, and only where the cache has no reply; a missing reply stays missing."""
+    from briefmill.sources.stores import replies
+
+    store, rows = _store(spark), table(spark, sf, "documents").filter("source IS NOT NULL").select("doc_id", F.col("source").alias("prompt"))
+    ask = lambda asked: asked.withColumn("raw", F.when(F.contains("prompt", F.lit("a")), F.upper("prompt")))
+    replies(store, rows.filter("doc_id % 2 = 0"), "m", ask)
+    return replies(store, rows, "m", ask)
+
+
+@query(f"""WITH {search_sql(_BENCH)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY rrf_score DESC, ordinal) AS rank FROM fused)
+ SELECT query_id, scope, count(*)::INT AS candidates, count(*) FILTER (rank <= 3)::INT AS n_selected, true AS selected_are_ranked FROM r GROUP BY ALL""")
+def retrieval_audit(spark, sf):
+    ranked = retrieval.ranking_metadata(_bench(spark, sf))
+    rows = retrieval.audit(ranked, ranked.filter("rank <= 3"), "dense_score", "sparse_score")
+    return rows.select("query_id", "scope", "candidates", F.size("selected").alias("n_selected"), "selected_are_ranked")

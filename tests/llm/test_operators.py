@@ -60,6 +60,16 @@ def by_id(rows):
     return {r["doc_id"]: r for r in rows}
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    """Small tables need no million buckets of rarity; results don't depend on their number."""
+    from briefmill.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "ROWS", 2)
+    monkeypatch.setattr(line_dedup, "PLACES", 512)
+    monkeypatch.setattr(line_dedup, "TOKEN_PARTS", 2)
+
+
 def test_mixing_targets_and_taken(spark, docs):
     from briefmill.llm.mixing import in_training_order, mix
 

@@ -11,7 +11,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier chain doesn't reject."""
+    """The documents that the classifier chain doesn't reject. A null or empty text has no features and gets the rates of the
+    categories; rows are judged one by one, so repeats and ties change nothing; whole texts count, however long. Columns
+    besides those of documents are dropped, so that none can clash; without labels, or rows, nothing is rejected."""
     from briefmill.llm.toxicity import score, train
 
     docs = docs.select(*COLUMNS)
@@ -20,13 +22,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased; null counts as empty) the row with the largest doc_id, once if that repeats; a null
+    doc_id stays only where no other is. An empty table stays empty; other columns than those of documents are dropped."""
     from briefmill.llm.exact_dedup import deduplicate
 
     return deduplicate(docs).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingle similarity the one with the smallest doc_id."""
+    """Of each group of documents linked by shingle similarity the one with the smallest doc_id. Documents without words are
+    linked with nothing and stay, null texts too; all rows of the staying doc_id stay; an empty table stays empty."""
     from briefmill.llm.jaccard_join import join
 
     found = join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
@@ -35,13 +40,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each kept document as many times as the mix takes it, in training order."""
+    """Each kept document as many times as the mix takes it, in training order. Null and empty texts have no words and are
+    never taken; a null source is a source of its own; equal rows are documents of their own; ties go by doc_id."""
     from briefmill.llm.mixing import in_training_order, mix
 
     return in_training_order(mix(docs.select(*COLUMNS), whole=True)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences. They are dealt to shards by hash, so the order of training isn't kept between
+    sequences. A null or empty text is the end id alone; a copy is a document of its own; an empty table gives no row."""
     from briefmill.llm.packing import pack
 
     return pack(docs)

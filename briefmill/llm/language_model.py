@@ -7,7 +7,7 @@ of every training document: documents lie end to end in lanes that are read side
 state carried along until a document ends. Groups of documents train copies of the network, whose average starts the next
 round, in which every document is read again. To score, each text is read in the same way, from its first word to its end.
 
-Texts stay in blocks, which are written once. For the counts a block sends each bucket its distinct words, and learns
+Texts are split once and stay in blocks of tokens. For the counts a block sends each bucket its distinct words, and learns
 how often each occurs in training.
 """
 
@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefmill.llm.blocks import open_block, text_blocks
-from briefmill.llm.common import materialize, pack_sorted, unpack_sorted
-from briefmill.llm.shingles import Words
+from briefmill.llm.common import discard, materialize, pack_sorted, unpack_sorted
+from briefmill.llm.shingles import split_words
 
 WORDS, CLASSES, HIDDEN = 1024, 24, 16
 WINDOW, LANES = 24, 256
@@ -34,6 +35,7 @@ FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0)  # no word has this name
 LOG10 = float(np.log(10))
 
+_TOKENS = ["block", "ids", "nulls", "many", "words", "places"]
 _COUNTED = "bucket int, block long, words binary, counts binary"
 _ROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 
@@ -45,16 +47,38 @@ def held_out(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
 def tokens(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted names of the distinct tokens of all texts, A-Z lower-cased, for each token its place among them, and how
     many each text has; every text ends with END."""
-    split, parts, at = Words(), [], 0
-    for n in sizes.tolist():
-        parts.append(split(raw[at : at + n]))
-        at += n
-    names = np.concatenate([np.maximum(split.names(), np.uint64(1)), [END]]).astype(np.uint64)
-    end = np.array([len(names) - 1], np.int32)
-    every, place = np.unique(names, return_inverse=True)
-    flat = [x for p in parts for x in (p, end)]
-    many = np.array([len(p) + 1 for p in parts], np.int64)
-    return every, place[np.concatenate(flat)] if flat else np.empty(0, np.int64), many
+    names, place, many = split_words(raw, sizes)
+    every, at = np.unique(np.concatenate([np.maximum(names, np.uint64(1)), [END]]).astype(np.uint64), return_inverse=True)
+    flat = np.insert(place, np.cumsum(many), len(names))
+    return every, at.astype(np.int32)[flat], many + 1
+
+
+def _token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts as tokens: names of the distinct ones, most frequent first, and places in byte planes."""
+    for row in _rows(batches):
+        _, _, words, place, many = open_tokens(row)
+        order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        planes = np.ascontiguousarray(rank[place].view(np.uint8).reshape(-1, 4).T)
+        zipped = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        values = [row["block"], row["ids"], row["nulls"], many.astype("<i8").tobytes(), words[order].tobytes(), zipped]
+        yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in values[1:]]], _TOKENS)
+
+
+def open_tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc ids, which of them are null, and what tokens() gives for a block of tokens or of texts."""
+    if "text" in row:
+        ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
+        return ids, nulls, *tokens(raw, sizes)
+    many, words = np.frombuffer(row["many"], "<i8"), np.frombuffer(row["words"], np.uint64)
+    n = int(many.sum())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["places"], max_output_size=max(1, 4 * n)), np.uint8)
+    order = np.argsort(words)
+    at = np.empty(len(order), np.int32)
+    at[order] = np.arange(len(order))
+    place = at[np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()]
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), words[order], place, many
 
 
 def _cuts(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -71,8 +95,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
-            words, place, many = tokens(raw, sizes)
+            ids, nulls, words, place, many = open_tokens(row)
             train = np.repeat(~held_out(ids, nulls), many)
             count = np.bincount(place[train], minlength=len(words)).astype("<u4")
             cut = _cuts(words, buckets)
@@ -136,6 +159,8 @@ class Vocabulary:
         self.inside = np.zeros(len(self.words) + 1, np.int64)
         for m in self.members:
             self.inside[m] = np.arange(len(m))
+        # words stand by frequency, the end aside, so that nearly every class is a run of them
+        self.runs = [slice(int(m[0]), int(m[-1]) + 1) if len(m) and m[-1] - m[0] + 1 == len(m) else m for m in self.members]
         self.by_name = np.argsort(self.words, kind="stable")
 
     def ids(self, names: np.ndarray) -> np.ndarray:
@@ -156,59 +181,73 @@ def start(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def step(net: dict, h: np.ndarray, x: np.ndarray) -> tuple:
     """The state after token x, and what the way back needs."""
     k = HIDDEN
     a, g = net["inputs"][x], h @ net["state"]
-    zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
+    zr = a[:, : 2 * k] + g[:, : 2 * k]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r = zr[:, :k], zr[:, k:]
-    n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-    return n + z * (h - n), (h, z, r, n, g[:, 2 * k :])
+    n = r * g[:, 2 * k :]
+    n += a[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (h, z, r, n, g[:, 2 * k :])
 
 
 def outputs(net: dict, vocabulary: Vocabulary, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
     """The log probability of token y after state h (of an other word: of their class); with grads also the loss's
     gradient by h, adding up those of the weights."""
-    # one column for each token: sums over classes or words then run along rows
-    c, ht = vocabulary.class_of[y], np.ascontiguousarray(h.T)
-    z = net["class"].T @ ht + net["class_bias"][:, None]
+    # tokens in order of classes; one column for each: sums over classes or words then run along rows
+    c = vocabulary.class_of[y]
+    order = np.argsort(c.astype(np.int16), kind="stable")
+    c, inside, h = c[order], vocabulary.inside[y[order]], h[order]
+    cut, rows = np.searchsorted(c, np.arange(vocabulary.n_classes)), np.arange(len(y))
+    ht = np.ascontiguousarray(h.T)
+    z = net["class"].T @ ht
+    z += net["class_bias"][:, None]
     z -= z.max(axis=0)
-    rows = np.arange(len(y))
-    out = z[c, rows]
+    got = z[c, rows]
     p = np.exp(z, out=z)
     s = p.sum(axis=0)
-    out = out - np.log(s)
+    got -= np.log(s)
     if grads is not None:
         p /= s
         p[c, rows] -= 1
         grads["class"] += ht @ p.T
         grads["class_bias"] += p.sum(axis=1)
         back = p.T @ net["class"].T
-    order = np.argsort(c.astype(np.int16), kind="stable")
-    cut = np.searchsorted(c[order], np.arange(vocabulary.n_classes))
-    for k, members in enumerate(vocabulary.members):
-        own = order[cut[k] : cut[k + 1]]
-        if not len(own) or len(members) == 1:
+    for k, members in enumerate(vocabulary.runs):
+        own = slice(cut[k], cut[k + 1])
+        if own.start == own.stop or len(vocabulary.members[k]) == 1:
             continue
-        weights, some = net["word"][:, members], h[own]
-        z = weights.T @ some.T + net["word_bias"][members][:, None]
+        weights, some = net["word"][:, members], ht[:, own]
+        z = weights.T @ some
+        z += net["word_bias"][members][:, None]
         z -= z.max(axis=0)
-        at, one = vocabulary.inside[y[own]], np.arange(len(own))
+        at, one = inside[own], rows[: own.stop - own.start]
         mine = z[at, one]
         p = np.exp(z, out=z)
         s = p.sum(axis=0)
-        out[own] += mine - np.log(s)
+        got[own] += mine - np.log(s)
         if grads is not None:
             p /= s
             p[at, one] -= 1
-            grads["word"][:, members] += some.T @ p.T
+            grads["word"][:, members] += some @ p.T
             grads["word_bias"][members] += p.sum(axis=1)
             back[own] += p.T @ weights.T
-    return out if grads is None else (out, back)
+    out = np.empty_like(got)
+    out[order] = got
+    if grads is None:
+        return out
+    by_token = np.empty_like(back)
+    by_token[order] = back
+    return out, by_token
 
 
 def backpropagate(
@@ -217,23 +256,26 @@ def backpropagate(
     """The state after a window x (texts, tokens; -1 after a text's end), the gradients within it, and the loss. Where
     fresh holds, a text begins and the state before is dropped."""
     k, grads = HIDDEN, {name: np.zeros_like(w) for name, w in net.items()}
-    states, tapes = [], []
-    for t in range(x.shape[1]):
-        if fresh is not None and fresh[:, t].any():
+    steps, xt = x.shape[1], np.ascontiguousarray(x.T)
+    there, known = (xt >= 0).ravel(), np.maximum(xt, 0)
+    begins = fresh.any(axis=0) if fresh is not None else np.zeros(steps, bool)
+    before, z, r, n, g = tape = [np.empty((steps, len(x), k), h.dtype) for _ in range(5)]
+    for t in range(steps):
+        if begins[t]:
             h = np.where(fresh[:, t, None], 0, h)
-        states.append(h)
-        h, tape = step(net, h, np.maximum(x[:, t], 0))
-        tapes.append(tape)
-    there = (x >= 0).T.ravel()
-    flat, y = np.concatenate(states)[there], x.T.ravel()[there]
-    logs, back = outputs(net, vocabulary, flat, y, grads)
-    d_states = np.zeros((x.shape[1] * len(x), k), h.dtype)
-    d_states[there] = back
-    d_states = d_states.reshape(x.shape[1], len(x), k)
-    steps = x.shape[1]
+        h, kept = step(net, h, known[t])
+        for part, one in zip(tape, kept, strict=True):
+            part[t] = one
+    full, flat, y = bool(there.all()), before.reshape(-1, k), xt.ravel()
+    if not full:
+        flat, y = flat[there], y[there]
+    logs, d_states = outputs(net, vocabulary, flat, y, grads)
+    if not full:
+        back, d_states = d_states, np.zeros((steps * len(x), k), h.dtype)
+        d_states[there] = back
+    d_states = d_states.reshape(steps, len(x), k)
     dh, d_inputs = np.zeros_like(h), np.empty((steps, len(x), 3 * k), h.dtype)
     d_gates = np.empty_like(d_inputs)
-    before, z, r, n, g = (np.stack(part) for part in zip(*tapes, strict=True))
     of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), g * r * (1 - r)
     back_state = np.ascontiguousarray(net["state"].T)
     for t in reversed(range(steps)):
@@ -244,14 +286,17 @@ def backpropagate(
         np.multiply(dn, of_r[t], out=d[:, k : 2 * k])
         dg[:, : 2 * k] = d[:, : 2 * k]
         np.multiply(dn, r[t], out=dg[:, 2 * k :])
-        dh = dh * z[t] + dg @ back_state + d_states[t]
-        if fresh is not None and fresh[:, t].any():
+        dh = dh * z[t]
+        dh += dg @ back_state
+        dh += d_states[t]
+        if begins[t]:
             dh = np.where(fresh[:, t, None], 0, dh)
     grads["state"] += before.reshape(-1, k).T @ d_gates.reshape(-1, 3 * k)
     order = np.argsort(y.astype(np.int16), kind="stable")
     if len(y):
         first = np.flatnonzero(np.diff(y[order], prepend=-1))
-        grads["inputs"][y[order[first]]] += np.add.reduceat(d_inputs.reshape(-1, 3 * k)[there][order], first)
+        places = order if full else np.flatnonzero(there)[order]
+        grads["inputs"][y[order[first]]] += np.add.reduceat(d_inputs.reshape(-1, 3 * k)[places], first)
     return h, {name: g / max(1, len(y)) for name, g in grads.items()}, -float(logs.sum())
 
 
@@ -348,8 +393,7 @@ def _learnt(vocabulary: Vocabulary):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
-            words, place, many = tokens(raw, sizes)
+            ids, nulls, words, place, many = open_tokens(row)
             known = vocabulary.ids(words).astype(np.int16)[place]
             begin, train = np.cumsum(many) - many, ~held_out(ids, nulls)
             salt = np.array([zlib.crc32(b"%d" % i) for i in ids.tolist()], np.int64)
@@ -401,8 +445,7 @@ def _scored(net: dict, vocabulary: Vocabulary, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, nulls, sizes, raw = open_block(row["ids"], row["nulls"], row["sizes"], row["text"])
-            words, place, many = tokens(raw, sizes)
+            ids, nulls, words, place, many = open_tokens(row)
             cut, total = _cuts(words, buckets), np.zeros(len(words), np.int64)
             for a in row["answers"] or ():
                 total[cut[a["bucket"]] : cut[a["bucket"] + 1]] = np.frombuffer(zlib.decompress(a["counts"]), "<u8")
@@ -433,7 +476,10 @@ def score_texts(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    blocks = text_blocks(docs, BLOCK_BYTES)
+    texts = text_blocks(docs, BLOCK_BYTES)
+    blocks = texts.mapInArrow(_token_blocks, "block long, ids binary, nulls binary, many binary, words binary, places binary")
+    blocks = materialize(blocks, "token_blocks")
+    discard(texts)
     counted = blocks.mapInArrow(_count(buckets), _COUNTED).repartition(buckets, "bucket")
     totals = materialize(counted.groupBy("bucket").applyInArrow(_total(WORDS), _COUNTED), "totals")
     # of all buckets' most frequent words the most frequent: WORDS of them and the end

@@ -10,39 +10,43 @@ import hashlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 from briefmill.llm.common import mix64
 
-#: Distinct words that are held at once.
-MOST_WORDS = 200_000
+#: Bytes of texts that are split at once.
+GROUP_BYTES = 8_000_000
 #: Fixed odd multipliers of the mixer.
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAAAAAAAAAAAAAAAB))
 
 
-class _Places(dict):
-    """A place for each word, in the order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        return place
+#: White space of texts, and a place for every byte's value.
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def named(words: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<u8")
 
 
-class Words:
-    """The words of texts (A-Z lower-cased, split at ASCII white space), each as a place among the distinct ones."""
-
-    def __init__(self) -> None:
-        self.places = _Places()
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
-
-    def names(self) -> np.ndarray:
-        return named(self.places)
+def split_words(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of joined texts of so many bytes (A-Z lower-cased, split at ASCII white space and between texts): names of
+    the distinct ones, each word's place among these, and how many words each text has."""
+    buf = np.frombuffer(raw.lower(), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    if not len(buf):
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(len(sizes), np.int64)
+    letter = ~SPACE[buf]
+    apart = np.ones(len(buf) + 1, bool)  # no word goes on from the byte before
+    apart[1:-1] = ~letter[:-1]
+    apart[bounds] = True
+    begin = np.flatnonzero(letter & apart[:-1])
+    apart[:-1] |= ~letter
+    end = np.flatnonzero(letter & apart[1:]) + 1
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(buf[letter])])
+    coded = words.dictionary_encode()
+    many = np.diff(np.searchsorted(begin, bounds))
+    return named(coded.dictionary.to_pylist()), coded.indices.to_numpy(), many
 
 
 def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
@@ -51,14 +55,14 @@ def shingle_sets(texts: list[bytes | None], words: int = 5) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     at = 0
     while at < len(texts):
-        split, group, size = Words(), [], 0
-        while at < len(texts) and (not group or size < 4_000_000 and len(split.places) < MOST_WORDS):
-            group.append(split(texts[at] or b""))
-            size += len(texts[at] or b"")
+        group: list[bytes] = []
+        size = 0
+        while at < len(texts) and (not group or size < GROUP_BYTES):
+            group.append(texts[at] or b"")
+            size += len(group[-1])
             at += 1
-        names = split.names()
-        n = np.array([len(g) for g in group], np.int64)
-        flat = names[np.concatenate(group)] if n.any() else np.empty(0, np.uint64)
+        names, place, n = split_words(b"".join(group), np.array([len(g) for g in group], np.int64))
+        flat = names[place]
         begin = np.cumsum(n) - n
         many = np.where(n >= words, n - words + 1, 0)  # whole shingles
         hashes = np.full(max(0, len(flat) - words + 1), words, np.uint64)

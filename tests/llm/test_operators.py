@@ -10,6 +10,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 import pytest
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -648,3 +650,24 @@ def test_packing_odd(spark, empty, odd):
 
     assert pack(empty).count() == 0
     assert sorted(r["length"] for r in pack(odd).collect()) == [1, 1, 3, 7, 7, 7]
+
+
+def test_split_words_as_plain_split():
+    from briefmill.llm.language_model import _token_blocks, open_tokens, tokens
+    from briefmill.llm.shingles import named, split_words
+
+    rng = np.random.default_rng(3)
+    pieces = ["a", "B", "é", "Ä", "\x1c", "\x85", "\xa0", " ", "\t", "\n", "\v", "\f", "\r"]
+    for _ in range(200):
+        texts = ["".join(rng.choice(pieces, rng.integers(0, 12))).encode() for _ in range(rng.integers(0, 6))]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        names, place, many = split_words(b"".join(texts), sizes)
+        plain = [t.lower().split() for t in texts]
+        assert many.tolist() == [len(p) for p in plain] and len(set(names.tolist())) == len(names)
+        assert names[place].tolist() == named([w for p in plain for w in p]).tolist()
+    # a block of tokens gives what the texts gave
+    raw = zstandard.ZstdCompressor().compress(b"".join(texts))
+    row = {"block": 1, "ids": np.arange(len(texts)).tobytes(), "nulls": np.zeros(len(texts), bool).tobytes(), "sizes": sizes.tobytes(), "text": raw}
+    block = next(_token_blocks(iter([pa.RecordBatch.from_pylist([row])])))
+    for got, want in zip(open_tokens(block.to_pylist()[0])[2:], tokens(b"".join(texts), sizes), strict=True):
+        assert got.tolist() == want.tolist()

@@ -12,10 +12,11 @@ import bisect
 import heapq
 import json
 import os
+import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -52,18 +53,36 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+#: Lower-case letters that composition and lower-casing leave as they are: Latin, Greek and Cyrillic.
+LETTERS = "a-zß-öø-ÿα-ωа-џ"
+#: What is looked up: the letters of a word of them and, apart, ASCII signs and digits up to its end; other words as wholes.
+LOOKED_UP = re.compile(rf"[{LETTERS}]++(?=[!-@\[-`{{-~]*+(?:[\x20\x09-\x0D]|\Z))|[^\x20\x09-\x0D]+")
+
+
+class _Ids(dict):
+    """Ids of words as little-endian 32-bit bytes, learned when first asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class WordTokenizer:
     """Encodes texts word by word with a cache where the tokenizer is known never to join across ASCII white space, else
     as wholes.
 
-    A word's ids are kept as little-endian 32-bit bytes. Words of letters alone, with points or commas after them, are
-    cut there by such a tokenizer; their letters go to its merges directly.
+    Such a tokenizer also cuts between letters and signs, so a word of letters with signs after it is looked up in two
+    parts, and letters go to its merges directly.
     """
 
-    #: Bytes of words and ids held at most; beyond it the cache starts anew.
-    LIMIT = 64_000_000
+    #: Bytes of words and ids after which the cache begins anew; it holds as many from before, and a batch's words.
+    LIMIT = 40_000_000
     #: What a word takes besides its letters and ids.
-    OVERHEAD = 190
+    OVERHEAD = 230
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -76,63 +95,46 @@ class WordTokenizer:
         cuts = pre.get("pretokenizers") or [{}, {}]
         split = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
         level = cuts[-1].get("type") == "ByteLevel" and not cuts[-1].get("add_prefix_space") and not cuts[-1].get("use_regex")
-        plain = form["model"].get("type") == "BPE" and not any(t["content"].isalpha() for t in form.get("added_tokens") or ())
+        added = [t["content"] for t in form.get("added_tokens") or ()]
+        plain = form["model"].get("type") == "BPE" and not any(t.isalpha() for t in added)
         self.by_word = normalizer.get("normalizers") == NORMALIZERS and len(cuts) == 2 and cuts[0] == split and level
         self.merges = self.tokenizer.model.tokenize if self.by_word and plain else None
+        # where lower-casing of A-Z first could change the result: capitals that compose otherwise with a mark of
+        # U+0300 to U+037F than their small letters, and what would read as an added token
+        self.kept_case = [b"\xcc", b"\xcd", *(t.lower().encode() for t in added)]
         self.letters = _byte_letters()
-        self.ids: dict[bytes, bytes] = {}
-        self.held = 0
+        self.ids, self.before, self.held = _Ids(self._learn), {}, 0
 
-    def _put(self, word: bytes, ids: bytes) -> None:
-        self.ids[word] = ids
-        self.held += len(word) + len(ids) + self.OVERHEAD
+    def _plain(self, word: str) -> bool:
+        """Whether a word is letters that composition and lower-casing leave as they are."""
+        if word.isascii():
+            return word.isalpha() and word.islower()
+        return word.isalpha() and word == word.lower() and is_normalized("NFC", word)
 
-    def _encode(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self._put(w, array("I", e.ids).tobytes())
+    def _learn(self, word: str) -> bytes:
+        ids = self.before.get(word) or self._find(word)
+        self.held += 2 * len(word) + len(ids) + self.OVERHEAD
+        return ids
 
-    def _merged(self, text: str) -> bytes:
-        if not text.isascii():
-            text = "".join(map(self.letters.__getitem__, text.encode()))
-        return array("I", [t.id for t in self.merges(text)]).tobytes()
+    def _find(self, word: str) -> bytes:
+        if self.merges and len(word) < 100 and self._plain(word):
+            text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            return array("I", [t.id for t in self.merges(text)]).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        ids = self.ids
-        if self.held > self.LIMIT:
-            ids.clear()
-            self.held = 0
-        parts, split = set(), []
-        for w in [w for w in words if w not in ids]:
-            body = w.rstrip(b".,")
-            tail = w[len(body) :]
-            try:
-                text = body.decode()
-            except UnicodeDecodeError:
-                text = ""
-            low = text.lower() if text.isascii() else text
-            if self.merges and low.isalpha() and low == low.lower() and is_normalized("NFC", low) and len(low) < 100:
-                key = low.encode()
-                if key not in ids:
-                    self._put(key, self._merged(low))
-                if key != w:
-                    split.append((w, key, tail))
-                if tail:
-                    parts.add(tail)
-            else:
-                parts.add(w)
-        self._encode([p for p in parts if p not in ids])
-        for w, key, tail in split:
-            self._put(w, ids[key] + ids[tail] if tail else ids[key])
+    def _words(self, text: bytes) -> list[str]:
+        low = text.lower()  # A-Z only
+        return LOOKED_UP.findall((text if any(x in low for x in self.kept_case) else low).decode("utf-8", "replace"))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return [array("I", e.ids).tobytes() for e in found]
-        words = [t.split() for t in texts]
-        self.learn(set().union(*words) if words else set())
+        if self.held > self.LIMIT:
+            self.before, self.held = dict(self.ids), 0
+            self.ids.clear()
         get = self.ids.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        return [b"".join(map(get, self._words(t))) for t in texts]
 
 
 def _tokenizer(path: str) -> WordTokenizer:

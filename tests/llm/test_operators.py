@@ -552,6 +552,27 @@ def test_packing_tokenizer_matches_whole_texts():
         assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_are_cut_where_the_tokenizer_cuts():
+    """Letters, signs, digits, marks that compose, white space of all kinds and added tokens in any order."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from briefmill.llm.packing import WordTokenizer, default_tokenizer
+
+    own, tok = WordTokenizer(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    own.LIMIT = 100_000  # begins anew many times
+    letters = [*"aAjJtThHwWyYiIsSdDmM", *"ßéÉöÿŸİıſKΣσςαйЙѠǅ漢あ한"] * 2
+    signs = [*"'’.,!#_-=<>«×÷½²Ⅷ٣09", *" \t\n\v\f\r\x00\x1c\x1f\x7f\x85\xa0\u200b\u3000", "😀"]
+    marks = [chr(x) for x in (0x301, 0x307, 0x308, 0x30A, 0x30C, 0x331, 0x338, 0x344, 0x1DC0)]
+    more = ["<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "'s", "'LL", "don't"]
+    rng = random.Random(5)
+    for _ in range(5000):
+        t = "".join(rng.choice(letters + signs + marks + more) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert own.before and own.held <= own.LIMIT + 20_000
+
+
 @pytest.mark.parametrize(("least", "most", "bins"), [(300, 700, 5000), (400, 900, 6650), (500, 1100, 8300)])
 def test_local_search_takes_up_every_underfull_bin(least, most, bins):
     """A whole shard: no step is left between any two bins, and fewer bins than a search of 400 of them leaves."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def pages(texts: DataFrame, lines: int = fixed.PAGE_LINES) -> DataFrame:
     return rows.select("doc_id", (F.col("_i") + 1).alias("page_number"), "text", "total_pages")
 
 
-def parents(pages: DataFrame, size: int = fixed.PARENT) -> DataFrame:
+def parents(pages: DataFrame, size: int = fixed.PARENT, tokenize: Callable[[Column], Column] = words) -> DataFrame:
     """doc_id, page_number, page_parent_index, tokens of each window; windows of a page follow each other."""
-    rows = pages.select("doc_id", "page_number", words(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
+    rows = pages.select("doc_id", "page_number", tokenize(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.size("_t") - 1) / F.lit(size)).cast("int"))
     cut = F.transform(starts, lambda i: F.slice("_t", i * size + 1, size))
     rows = rows.select("doc_id", "page_number", F.posexplode(cut).alias("page_parent_index", "tokens"))

@@ -526,15 +526,41 @@ def names_in_order_of_sight(spark, sf):
 @query(f"""WITH {CLAUSES_SQL}, {VALUE_SQL} SELECT * FROM value_conflicts WHERE document_id_a % 5 = 0 AND document_id_b % 5 = 0""")
 def conflicts_of_job(spark, sf):
     rows = ad.clause_table(spark, sf)
-    return conflicts.of_job(conflicts.value_conflicts(rows, normalized=False), rows.filter("document_id % 5 = 0").select("document_id").distinct())
+    job = conflicts.of_job(rows, rows.filter("document_id % 5 = 0").select("document_id"))
+    return conflicts.value_conflicts(job, normalized=False).orderBy("clause_type", "document_id_a", "document_id_b")
+
+
+def _classes(spark, sf) -> DataFrame:
+    return conflicts.classes(conflicts.both_kinds(ad.clause_table(spark, sf)), class_rows=16)
+
+
+@query(f"{ALL_SQL} SELECT clause_type, kind, count(*) AS conflicts FROM contradictions GROUP BY ALL")
+def conflict_counts(spark, sf):
+    """From the sizes of classes alone."""
+    return conflicts.counts(_classes(spark, sf))
+
+
+@query(f"{ALL_SQL} SELECT document_id, count(*) AS conflicts FROM (SELECT document_id_a AS document_id FROM contradictions UNION ALL SELECT document_id_b FROM contradictions) GROUP BY 1")
+def conflict_degrees(spark, sf):
+    return conflicts.degrees(_classes(spark, sf))
+
+
+@query(f"""{ALL_SQL} SELECT row_number() OVER (ORDER BY clause_type, document_id_a, document_id_b) AS place, clause_type, kind, document_id_a, document_id_b, value_a, value_b
+ FROM contradictions QUALIFY place <= 5000""")
+def first_conflicts(spark, sf):
+    """The rows that a brief lists, with their place, without making all pairs."""
+    from pyspark.sql import Window as W
+
+    rows = conflicts.first_pairs(_classes(spark, sf), 5000)
+    return rows.withColumn("place", F.row_number().over(W.orderBy("clause_type", "document_id_a", "document_id_b")).cast("long"))
 
 
 def _store(spark):
     import uuid
 
-    from briefmill.sources.stores import Store
+    from briefmill.sources.stores import shared_store
 
-    return Store(spark, (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/{uuid.uuid4().hex}")
+    return shared_store(spark, uuid.uuid4().hex)
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang <> 'en'")

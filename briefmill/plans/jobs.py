@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill.functions import fixed, prompts
-from briefmill.functions.text import cut, words
-from briefmill.operators import chunks, retrieval
-from briefmill.plans import pipeline
+from briefmill.functions.text import cut
+from briefmill.operators import retrieval
+from briefmill.plans import pipeline, stages
 from briefmill.plans.models import NOTHING, Models
 from briefmill.sources.files import load_pages
 from briefmill.sources.stores import Store
@@ -38,7 +38,11 @@ class Jobs:
         self.spark, self.store, self.models = spark, store, models or Models()
 
     def _note(self, job_id: str, state: str, message: str = "", documents: int = 0) -> None:
-        self.store.append(self.spark.createDataFrame([(job_id, time.time(), state, message, documents)], JOBS), "jobs")
+        # a folder for each job: a status opens no other's notes
+        self.store.put(self.store.under("jobs", job_id), {"job_id": job_id, "at": time.time(), "state": state, "message": message, "documents": documents})
+
+    def _notes(self, job_id: str) -> list[dict]:
+        return self.store.records(self.store.under("jobs", job_id))
 
     def submit(self, path: str, job_id: str | None = None) -> str:
         """A new job over the files of a path (a pattern); run() works on it."""
@@ -50,14 +54,15 @@ class Jobs:
 
     def status(self, job_id: str) -> dict:
         """job_id, state, message, documents, at of the latest note."""
-        last = self.store.read("jobs", JOBS).filter(F.col("job_id") == job_id).orderBy(F.desc("at")).limit(1).collect()
-        if not last:
+        notes = self._notes(job_id)
+        if not notes:
             raise NotFound(job_id)
-        return last[0].asDict()
+        return notes[-1]
 
     def history(self, job_id: str) -> DataFrame:
         """The job's states in order, with the seconds that each lasted."""
-        rows = self.store.read("jobs", JOBS).filter(F.col("job_id") == job_id)
+        names = ("job_id", "at", "state", "message", "documents")
+        rows = self.spark.createDataFrame([tuple(n[c] for c in names) for n in self._notes(job_id)], JOBS)
         return rows.withColumn("seconds", F.expr("lead(at) OVER (PARTITION BY job_id ORDER BY at) - at")).orderBy("at")
 
     def wait(self, job_id: str, every: float = 5.0, most: float = 3600.0, look: Callable[[dict], None] | None = None) -> dict:
@@ -73,27 +78,47 @@ class Jobs:
                 raise TimeoutError(f"job {job_id} is still {now['state']}")
             time.sleep(every)
 
+    def progress(self, job_id: str) -> DataFrame:
+        """A row for each stage of the job's runs: stage, state (made, kept, partial, failed, skipped), rows, seconds, message."""
+        return stages.progress(self.store, job_id)
+
+    def stage_counts(self, job_id: str) -> DataFrame:
+        """stage, state, rows, runs: how far the job has come."""
+        return stages.stage_counts(self.store, job_id)
+
+    def resume(self, job_id: str) -> dict:
+        """Go on with a job that was killed, failed, or ended with faults: files are read again only if no pages were kept, and
+        stages and replies that the store has are not made again."""
+        return self._work(job_id, ("running", "failed", "complete"))
+
     def run(self, job_id: str) -> dict:
         """Work on a pending job. If no file can be read it fails; files that can't are noted in the brief otherwise."""
+        return self._work(job_id, ("pending",))
+
+    def _work(self, job_id: str, states: tuple[str, ...]) -> dict:
         now = self.status(job_id)
-        if now["state"] != "pending":
+        if now["state"] not in states:
             raise Conflict(f"job {job_id} is {now['state']}")
+        first = self._notes(job_id)[0]
         self._note(job_id, "running", "reading")
         try:
-            pages = load_pages(self.spark, now["message"]).select("doc_id", "file_path", "page_number", "text", "total_pages", "error")
-            self.store.replace(pages.withColumn("job_id", F.lit(job_id)), "pages", "job_id")
             pages = self.pages(job_id)
+            if now["state"] == "pending" or pages.isEmpty():
+                found = load_pages(self.spark, first["message"]).select("doc_id", "file_path", "page_number", "text", "total_pages", "error")
+                self.store.replace(found.withColumn("job_id", F.lit(job_id)), "pages", "job_id")
+                pages = self.pages(job_id)
             good = pages.filter("error IS NULL").select("doc_id").distinct().count()
             if not good:
                 self._note(job_id, "failed", "no file could be read")
                 return self.status(job_id)
             self._note(job_id, "running", "reviewing", good)
-            job = pipeline.run(self.spark, job_id, pages, self.models.extract, time.strftime("%Y-%m-%d %H:%M UTC", time.gmtime()))
+            submitted = time.strftime("%Y-%m-%d %H:%M UTC", time.gmtime(first["at"]))
+            job = pipeline.run(self.spark, job_id, pages, generated=submitted, store=self.store, models=self.models)
             self.store.replace(job.brief.select(F.lit(job_id).alias("job_id"), "brief"), "briefs", "job_id")
         except Exception as e:
             self._note(job_id, "failed", f"{type(e).__name__}: {e}"[:500])
             raise
-        self._note(job_id, "complete", "", good)
+        self._note(job_id, "complete", "; ".join(job.errors)[:500], good)
         return self.status(job_id)
 
     def _complete(self, job_id: str) -> None:
@@ -113,10 +138,7 @@ class Jobs:
         if not question.strip():
             raise ValueError("the question is blank")
         self._complete(job_id)
-        pages = self.pages(job_id).filter("error IS NULL")
-        if document is not None:
-            pages = pages.filter(F.col("doc_id") == document)
-        found = [r.asDict() for r in sources(pages, question, self.models).collect()]  # QA_TOTAL rows
+        found = [r.asDict() for r in self.sources(job_id, question, document).collect()]  # QA_TOTAL rows
         if not found:
             return {"answer": NOTHING, "sources": []}
         rows = self.spark.createDataFrame([(question, [f["text"] for f in found])], "question string, excerpts array<string>")
@@ -129,26 +151,25 @@ class Jobs:
         if (state := self.status(job_id)["state"]) in ("running", "deleted"):
             raise Conflict(f"job {job_id} is {state}")
         gone = {name: self.store.delete(name, "job_id", job_id) for name in ("pages", "briefs")}
+        self.store.drop(self.store.under("progress", job_id))
         self._note(job_id, "deleted")
         return gone
 
-
-def sources(pages: DataFrame, question: str, models: Models) -> DataFrame:
-    """document_id, page_number, text, excerpt, place of the best chunks for a question: the best few of each document, then
-    the best of those."""
-    spark = pages.sparkSession
-    window = chunks.parents(pages)
-    child = chunks.children(window).select(
-        F.col("doc_id").alias("scope"), F.col("chunk_index").alias("ordinal"), "chunk_id", "page_number", F.col("parent_id").alias("parent"),
-        F.struct("page_number", "page_parent_index").alias("parent_order"), F.transform("tokens", F.lower).alias("tokens"), F.array_join("tokens", " ").alias("child_text"),
-    )
-    asked = spark.createDataFrame([("q", models.query_prefix + question)], "query_id string, query string")
-    asked = asked.select("query_id", words(F.lower("query")).alias("tokens"))
-    dense = retrieval.dense_ranks(retrieval.hashed_vectors(asked, "query_id"), retrieval.hashed_vectors(child, "scope", "ordinal"))
-    weights = child.select("scope", "ordinal", F.explode("tokens").alias("token")).groupBy("scope", "ordinal", "token").agg(F.count("*").cast("double").alias("weight"))
-    fused = retrieval.fuse(dense, retrieval.sparse_ranks(retrieval.postings(asked, "query_id"), weights))
-    best = retrieval.across_documents(retrieval.best_parents(fused, child, fixed.QA_PER_DOCUMENT))
-    texts = window.select(F.col("parent_id").alias("parent"), F.array_join("tokens", " ").alias("parent_text"))
-    text = retrieval.context_text(F.col("parent_text"), F.col("child_text"))
-    rows = best.join(texts, "parent", "left").select(F.col("scope").alias("document_id"), "page_number", text.alias("text"), cut(F.trim("child_text"), 200).alias("excerpt"), "place")
-    return rows.orderBy("place")
+    def sources(self, job_id: str, question: str, document: str | None = None) -> DataFrame:
+        """document_id, page_number, text, excerpt, place of the best chunks for a question: the best few of each document, then
+        the best of those. Windows, vectors and weights are the ones that the job's run has kept."""
+        pages = self.pages(job_id).filter("error IS NULL").select("doc_id", "page_number", "text")
+        kept = stages.Stages(self.store, job_id, pipeline.index_stages(self.models, self.store), ("pages",), notes=False)
+        t = kept.run({"pages": pages})
+        if kept.faults:
+            raise RuntimeError("; ".join(f"{name}: {message}" for name, message in kept.faults))
+        window, child, vectors, weights = t["windows"], t["children"].drop("tokens"), t["vectors"], t["weights"]
+        if document is not None:
+            child, vectors, weights = (x.filter(F.col("scope") == document) for x in (child, vectors, weights))
+        asked = self.spark.createDataFrame([("q", question)], "query_id string, text string")
+        fused = pipeline.ranked(asked, vectors, weights, self.models, self.store)
+        best = retrieval.across_documents(retrieval.best_parents(fused, child, fixed.QA_PER_DOCUMENT))
+        texts = window.select(F.col("parent_id").alias("parent"), F.array_join("tokens", " ").alias("parent_text"))
+        text = retrieval.context_text(F.col("parent_text"), F.col("text"))
+        rows = best.join(texts, "parent", "left").select(F.col("scope").alias("document_id"), "page_number", text.alias("text"), cut(F.trim("text"), 200).alias("excerpt"), "place")
+        return rows.orderBy("place")

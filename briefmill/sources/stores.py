@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +27,41 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def under(self, name: str, key: str) -> str:
+        """The name of a table of its own for a key, so that reading one key opens no other's files."""
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return "/".join([name, *map(escape, key.split("/"))])
+
     def _files(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def put(self, name: str, record: dict) -> None:
+        """Add a small record (a job's note, say) to those of a name. It appears whole or not at all."""
+        at = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        draft, fs = self._files(f"{self.path(name)}/_{at}")  # names with _ are passed over
+        out = fs.create(draft, False)
+        try:
+            out.write(bytearray(json.dumps(record).encode()))
+        finally:
+            out.close()
+        fs.rename(draft, self._files(f"{self.path(name)}/{at}.json")[0])
+
+    def records(self, name: str) -> list[dict]:
+        """The records of a name, in the order in which they were put."""
+        folder, fs = self._files(self.path(name))
+        if not fs.exists(folder):
+            return []
+        files = {f.getPath().getName(): f.getPath() for f in fs.listStatus(folder)}
+        found = []
+        for file in sorted(f for f in files if f.endswith(".json")):
+            stream = fs.open(files[file])
+            try:
+                found.append(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+        return found
+
     def exists(self, name: str) -> bool:
         p, fs = self._files(self.path(name))
         return fs.exists(p)
@@ -65,14 +99,36 @@ class Store:
         return bool(fs.exists(p) and fs.delete(p, True))
 
 
-def replies(store: Store, rows: DataFrame, model: str, ask: Callable[[DataFrame], DataFrame], table: str = "llm_responses") -> DataFrame:
-    """rows (prompt) with raw: replies that the store holds for the model, and those that ask() gives now, which are kept. A
-    missing reply isn't kept, so that it is asked for again. Equal prompts are asked for once."""
+def shared_store(spark: SparkSession, name: str) -> Store:
+    """A store beside the session's checkpoints. Where spark.checkpoint.dir is unset a local session gets one beside its
+    warehouse; on a cluster that might be a machine's own disk, so it is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return Store(spark, (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/{name}")
+
+
+#: Prompts that are asked before their replies are kept: what a job that is killed asks again at most.
+WAVE = 5_000
+
+
+def replies(
+    store: Store, rows: DataFrame, model: str, ask: Callable[[DataFrame], DataFrame], table: str = "llm_responses", wave: int = WAVE
+) -> DataFrame:
+    """rows (prompt) with raw: replies that the store holds for the model, and those that ask() gives now, which are kept.
+
+    Equal prompts are asked for once, with what else stands in one of their rows. They are asked in waves, by their hash,
+    and each wave's replies are kept as it ends, so that a job that is killed asks at most one wave again. A missing reply
+    isn't kept, so that it is asked for again. A null prompt has no reply."""
     keyed = rows.withColumn("prompt_md5", F.md5("prompt"))
     held = store.read(table, RESPONSES).filter(F.col("model") == model)
-    asked = keyed.select("prompt_md5", "prompt").dropDuplicates(["prompt_md5"]).join(held, "prompt_md5", "left_anti")
-    got = ask(asked).filter("raw IS NOT NULL").select(F.lit(model).alias("model"), "prompt_md5", "raw")
-    store.append(got, table)
+    asked = keyed.filter("prompt IS NOT NULL").dropDuplicates(["prompt_md5"]).join(held, "prompt_md5", "left_anti")
+    many = asked.count()
+    waves = -(-many // wave)
+    for i in range(waves):
+        some = asked.filter(F.pmod(F.xxhash64("prompt_md5"), F.lit(waves)) == i) if waves > 1 else asked
+        got = ask(some).filter("raw IS NOT NULL").select(F.lit(model).alias("model"), "prompt_md5", "raw")
+        store.append(got, table)
     held = store.read(table, RESPONSES).filter(F.col("model") == model).groupBy("prompt_md5").agg(F.min("raw").alias("raw"))
     return keyed.join(held, "prompt_md5", "left").drop("prompt_md5")
 

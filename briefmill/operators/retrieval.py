@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from briefmill.functions import fixed
+from briefmill.operators import nearest
 
 DIMENSIONS = 64
 
@@ -32,32 +33,16 @@ def sparse_pooling(weights: DataFrame) -> DataFrame:
     return best.groupBy("chunk_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "weight")))).alias("sparse"))
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def _ranked(scored: DataFrame, score: str, name: str, most: int) -> DataFrame:
-    order = W.partitionBy("query_id", "scope").orderBy(F.desc(score), "ordinal")
-    ranked = scored.withColumn(name, F.row_number().over(order) - 1)
-    return ranked.filter(F.col(name) < most)
-
-
 def dense_ranks(queries: DataFrame, chunks: DataFrame, most: int = fixed.CANDIDATES) -> DataFrame:
     """query_id, scope, ordinal, dense_score, dense_rank (from 0): each query's nearest chunks of each scope by cosine.
     queries: query_id, dense; chunks: scope, ordinal, dense."""
-    norm = lambda c: F.sqrt(dot(c, c))
-    q = queries.select("query_id", F.col("dense").alias("qv")).withColumn("qn", norm("qv")).filter("qn > 0")
-    c = chunks.select("scope", "ordinal", F.col("dense").alias("cv")).withColumn("cn", norm("cv")).filter("cn > 0")
-    scored = c.crossJoin(q).select("query_id", "scope", "ordinal", (dot("qv", "cv") / (F.col("qn") * F.col("cn"))).alias("dense_score"))
-    return _ranked(scored, "dense_score", "dense_rank", most)
+    return nearest.dense_nearest(queries, nearest.dense_blocks(chunks), most)
 
 
 def sparse_ranks(queries: DataFrame, chunks: DataFrame, most: int = fixed.CANDIDATES) -> DataFrame:
     """query_id, scope, ordinal, sparse_score, sparse_rank: by the dot product over shared tokens.
     queries: query_id, token, weight; chunks: scope, ordinal, token, weight."""
-    q = queries.select("query_id", "token", F.col("weight").alias("qw"))
-    scored = chunks.join(q, "token").groupBy("query_id", "scope", "ordinal").agg(F.sum(F.col("qw") * F.col("weight")).alias("sparse_score"))
-    return _ranked(scored, "sparse_score", "sparse_rank", most)
+    return nearest.sparse_nearest(queries, nearest.sparse_blocks(chunks), most)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = fixed.RRF_K, need_dense: bool = True) -> DataFrame:

@@ -3,12 +3,15 @@ part of the engine."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill.functions import fixed
 from briefmill.functions.text import words
 from briefmill.operators import chunks, clauses, retrieval
+from briefmill.sources.stores import shared_store
 
 VALUES = ["30 days", "thirty (30) days", "Delaware", "State of Delaware", "$1,000,000", "one million dollars", " delaware ", None]
 TEXTS = [
@@ -57,6 +60,14 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_table() written once, for what reads it more than once."""
+    store = shared_store(spark, uuid.uuid4().hex)
+    rows = chunk_table(spark, sf_dir)
+    store.append(rows, "chunks")
+    return spark.read.schema(rows.schema).parquet(store.path("chunks"))
+
+
 def search(queries: DataFrame, child: DataFrame) -> DataFrame:
     """Fused candidates of queries (query_id, text) among the chunks."""
     tokens = queries.select("query_id", words(F.col("text")).alias("tokens"))

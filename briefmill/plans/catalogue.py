@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill.functions import fixed, text
-from briefmill.operators import chunks, clauses, conflicts, evaluate, graph, report, retrieval, risk
+from briefmill.operators import chunks, clauses, conflicts, evaluate, graph, nearest, report, retrieval, risk
 from briefmill.plans import adapters as ad
 from briefmill.plans.adapters import CHUNKS_SQL, CLAUSES_SQL, PAGES_SQL, STRIP_SQL, TOKENS_SQL, search_sql, sql_list, table
 from briefmill.sources.files import cache_misses
@@ -205,6 +205,40 @@ def edges_after_delete(spark, sf):
     return graph.delete_documents(graph.edges(ad.clause_table(spark, sf)), _gone(spark, sf))[0]
 
 
+def _suppliers_of_orders(spark, sf, later: int = 0) -> DataFrame:
+    """Each supplier is a document whose law is named by the orders that it has lines of: entities that few documents share."""
+    value = F.concat(F.lit("order "), (F.col("l_orderkey") + later).cast("string"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("document_id"), F.lit("Governing Law").alias("clause_type"), F.lit(True).alias("found"), F.lit("").alias("clause_text"), value.alias("normalized_value")
+    )
+
+
+def _changed_graph(spark, sf):
+    """All suppliers, a third of them changed, those of some nations deleted."""
+    from briefmill.sources.graph_store import GraphStore
+
+    kept = GraphStore(_store(spark), buckets=8)
+    kept.upsert(_suppliers_of_orders(spark, sf))
+    kept.upsert(_suppliers_of_orders(spark, sf, 1).filter("document_id % 3 = 0"))
+    kept.delete(_gone(spark, sf))
+    return kept
+
+
+_CHANGED_SQL = f"""WITH first AS (SELECT DISTINCT l_suppkey AS d, 'order ' || l_orderkey AS entity FROM lineitem), then_ AS (SELECT DISTINCT l_suppkey AS d, 'order ' || (l_orderkey + 1) AS entity FROM lineitem WHERE l_suppkey % 3 = 0),
+now AS (SELECT * FROM first WHERE d % 3 <> 0 UNION ALL SELECT * FROM then_), kept AS (SELECT * FROM now WHERE d NOT IN {GONE_SQL})"""
+
+
+@query(f"{_CHANGED_SQL} SELECT 'GOVERNED_BY' AS edge_type, entity, count(*) AS refs FROM kept GROUP BY entity")
+def entity_references_after_changes(spark, sf):
+    """Counts that are kept up with each change, against counting anew."""
+    return _changed_graph(spark, sf).references()
+
+
+@query(f"{_CHANGED_SQL} SELECT DISTINCT 'GOVERNED_BY' AS edge_type, entity FROM (SELECT * FROM first UNION ALL SELECT * FROM then_) WHERE entity NOT IN (SELECT entity FROM kept)")
+def orphans_after_changes(spark, sf):
+    return _changed_graph(spark, sf).orphans()
+
+
 @query(f"""WITH {CLAUSES_SQL} SELECT DISTINCT clause_text, array_to_string(list_sort(list_distinct({PARTIES_SQL})), ' / ') AS parties FROM clauses WHERE clause_text IS NOT NULL""")
 def party_extraction(spark, sf):
     rows = ad.clause_table(spark, sf).select("clause_text").filter("clause_text IS NOT NULL").distinct()
@@ -279,18 +313,19 @@ def processed_filter(spark, sf):
  FROM embeddings q, embeddings c) WHERE dense_rank < 20""")
 def dense_topk(spark, sf):
     """Every vector against all, in the scope of each label."""
-    rows = table(spark, sf, "embeddings").withColumn("dense", F.col("embedding").cast("array<double>")).withColumn("norm", F.sqrt(retrieval.dot("dense", "dense")))
-    asked = rows.select(F.col("vec_id").alias("query_id"), "dense", "norm")
-    score = F.round(retrieval.dot("q.dense", "c.dense") / (F.col("q.norm") * F.col("c.norm")), 12)
-    pairs = rows.alias("c").crossJoin(asked.alias("q")).select("query_id", F.col("label").alias("scope"), F.col("vec_id").alias("ordinal"), score.alias("dense_score"))
-    return retrieval._ranked(pairs, "dense_score", "dense_rank", 20).select("query_id", "scope", "ordinal", F.col("dense_rank").cast("long").alias("dense_rank"))
+    rows = table(spark, sf, "embeddings").withColumn("dense", F.col("embedding").cast("array<double>"))
+    asked = rows.select(F.col("vec_id").alias("query_id"), "dense")
+    blocks = nearest.dense_blocks(rows.select(F.col("label").alias("scope"), F.col("vec_id").alias("ordinal"), "dense"))
+    found = nearest.dense_nearest(asked, blocks, 20, digits=12)
+    return found.select("query_id", "scope", "ordinal", F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
 _BENCH = "SELECT item_id AS query_id, text FROM benchmark"
 
 
-def _bench(spark, sf) -> DataFrame:
-    return ad.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), ad.chunk_table(spark, sf))
+def _bench(spark, sf, child: DataFrame | None = None) -> DataFrame:
+    child = ad.kept_chunks(spark, sf) if child is None else child
+    return ad.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), child)
 
 
 _FUSED = ["query_id", "scope", "ordinal", "cast(dense_rank AS long) AS dense_rank", "cast(sparse_rank AS long) AS sparse_rank", "round(rrf_score, 9) AS rrf_score"]
@@ -298,13 +333,23 @@ _FUSED = ["query_id", "scope", "ordinal", "cast(dense_rank AS long) AS dense_ran
 
 @query(f"WITH {search_sql(_BENCH)} SELECT query_id, scope, ordinal, sparse_rank, sparse_score FROM sparse")
 def sparse_topk(spark, sf):
-    child = ad.chunk_table(spark, sf)
+    child = ad.kept_chunks(spark, sf)
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("tokens"))
     weights = retrieval.postings(child.select("ordinal", "tokens"), "ordinal").join(child.select("ordinal", "scope"), "ordinal")
     found = retrieval.sparse_ranks(retrieval.postings(asked, "query_id"), weights)
     return found.select("query_id", "scope", "ordinal", F.col("sparse_rank").cast("long").alias("sparse_rank"), "sparse_score")
 
 
+@query(f"""WITH {search_sql(_BENCH)} SELECT qp.query_id, count(*) AS postings FROM qp JOIN cp USING (token) GROUP BY 1""")
+def postings_of_queries(spark, sf):
+    """How many postings each query's tokens have in the index, of which the search reads a part."""
+    child = ad.kept_chunks(spark, sf).select("scope", "ordinal", "tokens")
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), text.words(F.col("text")).alias("tokens"))
+    weights = child.select("scope", "ordinal", F.explode("tokens").alias("token")).groupBy("scope", "ordinal", "token").agg(F.count("*").cast("double").alias("weight"))
+    found = nearest.postings_read(retrieval.postings(asked, "query_id"), nearest.sparse_blocks(weights), 20)
+    return found.select("query_id", F.col("all").alias("postings"))
+
+
 @query(f"WITH {search_sql(_BENCH)} SELECT query_id, scope, ordinal, dense_rank, sparse_rank, round(rrf_score, 9) AS rrf_score FROM fused")
 def hybrid_rrf(spark, sf):
     return _bench(spark, sf).selectExpr(*_FUSED)
@@ -320,7 +365,7 @@ def multi_query_rrf(spark, sf):
     half = text.words(F.col("text"))
     first = F.array_join(F.slice(half, F.lit(1), F.floor(F.size(half) / 2).cast("int")), " ")
     asked = items.select((F.col("item_id") * 10).alias("query_id"), "text").unionByName(items.select((F.col("item_id") * 10 + 1).alias("query_id"), first.alias("text")))
-    fused = ad.search(asked, ad.chunk_table(spark, sf))
+    fused = ad.search(asked, ad.kept_chunks(spark, sf))
     fused = fused.withColumn("item", F.floor(F.col("query_id") / 10)).withColumn("query_no", F.col("query_id") % 10)
     out = retrieval.merge_queries(fused, "item")
     return out.select("item", "scope", "ordinal", "rrf_score", F.coalesce(F.col("dense_rank").cast("long"), F.lit(-1).cast("long")).alias("dense_rank"))
@@ -332,8 +377,8 @@ BEST_SQL = """best AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope
 
 @query(f"WITH {search_sql(_BENCH)}, {BEST_SQL} SELECT query_id, scope, ordinal, score_rank, place FROM best")
 def parent_dedup_doc_order(spark, sf):
-    child = ad.chunk_table(spark, sf)
-    found = retrieval.best_parents(_bench(spark, sf), child.select("scope", "ordinal", "parent", "parent_order"), fixed.TOP_SINGLE)
+    child = ad.kept_chunks(spark, sf)
+    found = retrieval.best_parents(_bench(spark, sf, child), child.select("scope", "ordinal", "parent", "parent_order"), fixed.TOP_SINGLE)
     return found.select("query_id", "scope", "ordinal", *[F.col(c).cast("long").alias(c) for c in ("score_rank", "place")])
 
 
@@ -358,7 +403,7 @@ _ASK = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE
 def qa_cross_doc(spark, sf):
     """Each user's turn is a question to all sources: the best chunks with page citations."""
     asked = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    child = ad.chunk_table(spark, sf)
+    child = ad.kept_chunks(spark, sf)
     best = retrieval.best_parents(ad.search(asked, child), child.select("scope", "ordinal", "parent", "parent_order", "doc_id", "page_number", "tokens"), fixed.QA_PER_DOCUMENT)
     out = retrieval.across_documents(best)
     excerpt = F.trim(F.substring(F.array_join("tokens", " "), 1, 200))
@@ -371,9 +416,10 @@ RANKED_SQL = f"WITH {search_sql(_BENCH)}, ranked AS (SELECT f.*, array_to_string
 def _hits(spark, sf) -> DataFrame:
     from pyspark.sql import Window as W
 
-    child = ad.chunk_table(spark, sf).select("scope", "ordinal", F.array_join("tokens", " ").alias("text"))
+    kept = ad.kept_chunks(spark, sf)
+    child = kept.select("scope", "ordinal", F.array_join("tokens", " ").alias("text"))
     order = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "ordinal")
-    ranked = _bench(spark, sf).join(child, ["scope", "ordinal"]).withColumn("rank", F.row_number().over(order))
+    ranked = _bench(spark, sf, kept).join(child, ["scope", "ordinal"]).withColumn("rank", F.row_number().over(order))
     truths = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("truth"))
     return evaluate.hits(ranked.select("query_id", "rank", "text"), truths, "query_id")
 
@@ -399,9 +445,10 @@ scored AS (SELECT *, CASE WHEN c > 0 THEN 2 * (c / len(p)) * (c / len(t)) / (c /
 def _scored(spark, sf) -> DataFrame:
     from pyspark.sql import Window as W
 
-    child = ad.chunk_table(spark, sf).select("scope", "ordinal", F.array_join("tokens", " ").alias("prediction"))
+    kept = ad.kept_chunks(spark, sf)
+    child = kept.select("scope", "ordinal", F.array_join("tokens", " ").alias("prediction"))
     order = W.partitionBy("query_id").orderBy(F.desc("rrf_score"), "ordinal")
-    first = _bench(spark, sf).withColumn("rank", F.row_number().over(order)).filter("rank = 1").join(child, ["scope", "ordinal"])
+    first = _bench(spark, sf, kept).withColumn("rank", F.row_number().over(order)).filter("rank = 1").join(child, ["scope", "ordinal"])
     truths = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("truth"))
     return evaluate.scored_answers(first.withColumn("found", F.col("sparse_rank").isNotNull()).join(truths, "query_id"))
 
@@ -589,3 +636,50 @@ def retrieval_audit(spark, sf):
     ranked = retrieval.ranking_metadata(_bench(spark, sf))
     rows = retrieval.audit(ranked, ranked.filter("rank <= 3"), "dense_score", "sparse_score")
     return rows.select("query_id", "scope", "candidates", F.size("selected").alias("n_selected"), "selected_are_ranked")
+
+
+# A job's stages, over all documents, with a model that knows the category alone.
+_KNOWN = [(c, i % 3 != 0, ad.TEXTS[i % 4], ad.VALUES[i % 8], 0.3 if i % 5 == 0 else 0.9) for i, c in enumerate(fixed.CATEGORIES)]
+
+
+def _sql_value(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+
+
+# what parse_replies makes of the texts: the clause without its number and heading
+_REPLIES_SQL = "(VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in _KNOWN) + ") k(clause_type, found, raw_text, normalized_value, confidence)"
+_JOB_SQL = GRAPH_SQL[GRAPH_SQL.index("text_parties AS") :]
+_FLAGS = FLAGS_SQL[FLAGS_SQL.index("missing AS") :]
+_STAGES_SQL = f"""WITH {CHUNKS_SQL}, docs AS (SELECT DISTINCT doc_id FROM pages),
+known AS (SELECT clause_type, found, {trim_sql("raw_text")} AS clause_text, normalized_value, confidence FROM {_REPLIES_SQL}),
+clauses AS (SELECT doc_id AS document_id, known.*, 'c' AS source_chunk_id FROM docs, known),
+{_FLAGS}, {_JOB_SQL},
+keyed AS (SELECT 'value' AS kind, clause_type, {form_sql("normalized_value")} AS key, normalized_value AS value FROM clauses WHERE found AND normalized_value IS NOT NULL
+ UNION ALL SELECT 'absence', clause_type, found::VARCHAR, CASE WHEN found THEN coalesce(nullif(normalized_value, ''), '{conflicts.UNREAD}') ELSE '{conflicts.ABSENT}' END FROM clauses WHERE clause_type IN {WEIGHTY}),
+assess AS (SELECT * FROM clauses WHERE found AND confidence >= 0.4 AND clause_type IN {ASSESSED} AND clause_text <> '')"""
+
+
+@query(f"""{_STAGES_SQL} SELECT unnest([
+ {{'stage': 'documents', 'rows': (SELECT count(*) FROM docs)}}, {{'stage': 'windows', 'rows': (SELECT count(*) FROM parents)}}, {{'stage': 'children', 'rows': (SELECT count(*) FROM children)}},
+ {{'stage': 'vectors', 'rows': (SELECT count(*) FROM children)}}, {{'stage': 'weights', 'rows': (SELECT sum(len(list_distinct(list_transform(tokens, lambda w: lower(w)))))::BIGINT FROM children)}},
+ {{'stage': 'dense_index', 'rows': (SELECT ceil(count(*) / 4096.0)::BIGINT FROM children)}}, {{'stage': 'sparse_index', 'rows': (SELECT ceil(count(*) / 4096.0)::BIGINT FROM children)}},
+ {{'stage': 'contexts', 'rows': (SELECT count(*) FROM clauses)}}, {{'stage': 'replies', 'rows': (SELECT count(*) FROM clauses)}}, {{'stage': 'clauses', 'rows': (SELECT count(*) FROM clauses)}},
+ {{'stage': 'assessments', 'rows': (SELECT count(*) FROM assess)}}, {{'stage': 'flags', 'rows': (SELECT count(*) FROM flags)}}, {{'stage': 'edges', 'rows': (SELECT count(*) FROM edges)}},
+ {{'stage': 'classes', 'rows': (SELECT sum(ceil(n / 4096.0))::BIGINT FROM (SELECT count(*) AS n FROM keyed GROUP BY kind, clause_type, key, value))}},
+ {{'stage': 'conflict_counts', 'rows': 0}}, {{'stage': 'explanations', 'rows': 0}}, {{'stage': 'contradictions', 'rows': 0}}, {{'stage': 'narrative', 'rows': 1}}, {{'stage': 'brief', 'rows': 1}}],
+ recursive := true) , 'made' AS state, 1 AS runs""")
+def job_stage_counts(spark, sf):
+    """A whole review of all documents: what each stage wrote, from the job's own progress."""
+    from briefmill.plans import pipeline, stages
+    from briefmill.plans.models import Models
+
+    known = spark.createDataFrame([(c, f, t, v, n) for c, f, t, v, n in _KNOWN], "clause_type string, found boolean, clause_text string, normalized_value string, confidence double")
+
+    def extract(rows):
+        reply = F.to_json(F.struct("found", "clause_text", "normalized_value", "confidence"))
+        return rows.join(F.broadcast(known.select("clause_type", reply.alias("raw"))), "clause_type")
+
+    store = _store(spark)
+    pages = ad.page_table(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    pipeline.run(spark, "job", pages, store=store, models=Models(extract=extract, names={"extract": "by category"}))
+    return stages.stage_counts(store, "job").select("stage", "state", "rows", F.col("runs").cast("int").alias("runs"))

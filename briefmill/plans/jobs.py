@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from briefmill.functions import fixed, prompts
 from briefmill.functions.text import cut
-from briefmill.operators import retrieval
+from briefmill.operators import nearest, retrieval
 from briefmill.plans import pipeline, stages
 from briefmill.plans.models import NOTHING, Models
 from briefmill.sources.files import load_pages
@@ -163,11 +163,11 @@ class Jobs:
         t = kept.run({"pages": pages})
         if kept.faults:
             raise RuntimeError("; ".join(f"{name}: {message}" for name, message in kept.faults))
-        window, child, vectors, weights = t["windows"], t["children"].drop("tokens"), t["vectors"], t["weights"]
+        window, child, dense, sparse = t["windows"], t["children"].drop("tokens"), t["dense_index"], t["sparse_index"]
         if document is not None:
-            child, vectors, weights = (x.filter(F.col("scope") == document) for x in (child, vectors, weights))
+            child, dense, sparse = child.filter(F.col("scope") == document), nearest.of_scope(dense, F.lit(document)), nearest.of_scope(sparse, F.lit(document))
         asked = self.spark.createDataFrame([("q", question)], "query_id string, text string")
-        fused = pipeline.ranked(asked, vectors, weights, self.models, self.store)
+        fused = pipeline.ranked(asked, dense, sparse, self.models, self.store)
         best = retrieval.across_documents(retrieval.best_parents(fused, child, fixed.QA_PER_DOCUMENT))
         texts = window.select(F.col("parent_id").alias("parent"), F.array_join("tokens", " ").alias("parent_text"))
         text = retrieval.context_text(F.col("parent_text"), F.col("text"))

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by collision counting.
 
 A largest inner product becomes a smallest distance once every vector has one coordinate more that brings it to the
-greatest length. The index hashes each vector with single random projections and keeps each projection's values
-sorted, block by block of vectors. A query opens a window around its own value in each sorted array, and virtual
+greatest length, so blocks hold vectors of like length: few long ones would make all others look alike. The index
+hashes each vector with single random projections and keeps each projection's values sorted, block by block of vectors. A query opens a window around its own value in each sorted array, and virtual
 rehashing widens all windows together; a widening reads only what enters. As soon as enough vectors have collided in a
 threshold of the projections, those are verified with exact inner products. Blocks of queries meet blocks of vectors by
 an equality join, and only the best k of each meeting move on.
@@ -25,9 +25,12 @@ from briefmill.llm.common import materialize
 PROJECTIONS, THRESHOLD = 130, 0.85
 #: The first radius of virtual rehashing, in lengths of the longest vector, and how much each next one is wider.
 RADIUS, WIDER = 1.7, 1.04
-#: The part of a block that must have collided before windows stop widening; 4 * k vectors at least.
-VERIFIED = 0.03
+#: The part of a block that must have collided before vectors are first verified; 4 * k vectors at least. Windows go on
+#: widening until GROW times as many verified vectors bring the best k nothing nearer.
+VERIFIED, GROW = 0.03, 1.3
 BLOCK, QUERY_BLOCK = 8192, 512
+#: Classes of length for each doubling; vectors of a class are dealt to blocks of their own.
+LENGTHS = 2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -56,15 +59,24 @@ def projections(dimensions: int, seed: int) -> np.ndarray:
 def build(vectors: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """The index: a row for each block of vectors, holding ids, vectors, and each projection's sorted values and order."""
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    n, longest = vectors.agg(F.count("*"), F.max(length)).first()
-    blocks = max(1, -(-n // block))
+    # lengths that a double can't hold are classes of their own
+    kind = F.when((length > 0) & (length < float("inf")), F.floor(F.log2(length) * LENGTHS)).otherwise(F.when(length > 0, F.lit(1 << 20)).otherwise(F.lit(-(1 << 20))))
+    sized = vectors.withColumn("_kind", kind.cast("int"))
+    first, deal = 0, []
+    for r in sorted(sized.groupBy("_kind").count().collect()):  # a few thousand classes at most, by the range of doubles
+        many = max(1, -(-r["count"] // block))
+        deal.append((r["_kind"], first, many))
+        first += many
+    deal = vectors.sparkSession.createDataFrame(deal, "_kind int, _first int, _many int")
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
         x = _matrix(rows["vector"])
-        last = np.sqrt(np.maximum(longest**2 - (x**2).sum(axis=1), 0.0))
+        scaled = x / np.abs(x).max()  # so that squares stay within doubles
+        square = (scaled**2).sum(axis=1)
+        last = np.sqrt(np.maximum(square.max() - square, 0.0))
         a = projections(x.shape[1] + 1, seed)
-        values = (x @ a[:-1] + last[:, None] * a[-1]) / longest
+        values = (scaled @ a[:-1] + last[:, None] * a[-1]) / np.sqrt(square.max())
         order = np.argsort(values, axis=0, kind="stable").T.astype(np.uint16 if len(rows) <= 1 << 16 else np.int32)
         ranked = np.take_along_axis(values.T, order.astype(np.int64), axis=1)
         return pd.DataFrame({
@@ -72,7 +84,8 @@ def build(vectors: DataFrame, seed: int = 7, block: int = BLOCK) -> DataFrame:
             "ranked": [ranked.tobytes()], "places": [order.tobytes()],
         })
 
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int"))
+    block_of = F.col("_first") + F.pmod(F.xxhash64("id", F.lit(3)), F.col("_many")).cast("int")
+    dealt = sized.join(F.broadcast(deal), "_kind").select("id", "vector", block_of.alias("block"))
     return dealt.groupBy("block").applyInPandas(index, "block int, ids binary, vectors binary, ranked binary, places binary")
 
 
@@ -101,8 +114,9 @@ class Windows:
         parts = [p[a:b] for p, a, b in zip(self.places, begin.tolist(), end.tolist(), strict=True) if a < b]
         return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
 
-    def collided(self, query: int, wanted: int) -> np.ndarray:
-        """Places of the vectors whose collisions reach the threshold, at the first radius with `wanted` of them."""
+    def collided(self, query: int, wanted: int) -> Iterator[np.ndarray]:
+        """Places of the vectors whose collisions reach the threshold, at the first radius with `wanted` of them, then at the
+        first with GROW times as many as there were, and so on until all have collided."""
         low, high = self.at_step(0, query)
         if 2 * int((high - low).sum()) > self.n * self.projections:  # fewer stand outside
             out = self._count(np.zeros_like(low), low) + self._count(high, np.full_like(high, self.n))
@@ -110,12 +124,16 @@ class Windows:
         else:
             count = self._count(low, high)
         step = 0
-        while len(found := np.flatnonzero(count >= self.need)) < min(wanted, self.n):
-            step += 1
-            below, above = self.at_step(step, query)
-            count += self._count(below, low) + self._count(high, above)  # what enters
-            low, high = below, above
-        return found
+        while True:
+            while len(found := np.flatnonzero(count >= self.need)) < min(wanted, self.n):
+                step += 1
+                below, above = self.at_step(step, query)
+                count += self._count(below, low) + self._count(high, above)  # what enters
+                low, high = below, above
+            yield found
+            if len(found) == self.n:
+                return
+            wanted = int(GROW * len(found)) + 1
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -162,10 +180,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 7) -> Dat
                 wanted = max(4 * k, int(np.ceil(VERIFIED * len(ids))))
                 out, windows = [], Windows(ranked, places, at)
                 for i in range(len(q_ids)):
-                    near = windows.collided(i, wanted)
-                    near = near[ids[near] != q_ids[i]]
-                    score = x[near] @ q[i]
-                    best = np.lexsort((ids[near], -score))[:k]
+                    before = None
+                    for near in windows.collided(i, wanted):
+                        near = near[ids[near] != q_ids[i]]
+                        score = (x[near] * q[i]).sum(axis=1)  # each row summed in the same order, so equal vectors have equal scores
+                        best = np.lexsort((ids[near], -score))[:k]
+                        if before is not None and np.array_equal(near[best], before):
+                            break  # more have brought nothing nearer
+                        before = near[best]
                     out.append((np.full(len(best), q_ids[i]), ids[near][best], score[best]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "score"]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,12 +63,54 @@ def extraction_by_category(scored: DataFrame, group: str) -> DataFrame:
     )
 
 
+#: Rows that a task holds of all groups before it hands on what it has and begins anew.
+HELD = 200_000
+
+
+def least_of_groups(rows: DataFrame, group: str, order: list[str], most: int, held: int = HELD) -> DataFrame:
+    """The first `most` rows of each group by the order columns, within each task: a task hands on that many rows of a group,
+    so what is moved for the last choice is bounded by groups, tasks and `most`, not by rows. With very many groups a task
+    hands on in several parts. Nulls come first; of equal rows any stays."""
+    schema = rows.schema
+
+    def first(table: pa.Table) -> pa.Table:
+        coded = table.column(group).combine_chunks().dictionary_encode(null_encoding="encode").indices
+        keys = [("_g", "ascending"), *((c, "ascending") for c in order)]
+        table = table.append_column("_g", coded)
+        table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+        g = table.column("_g").to_numpy()
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+        place = np.arange(len(g)) - np.repeat(begin, np.diff(np.append(begin, len(g))))
+        return table.filter(pa.array(place < most)).drop_columns("_g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+        size, limit = 0, held
+        for batch in batches:
+            kept.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size >= limit:
+                kept = [first(pa.concat_tables(kept))]
+                size = kept[0].num_rows
+                if size > held // 2:  # too many groups to go on with
+                    yield from kept[0].to_batches()
+                    kept, size = [], 0
+        if kept:
+            yield from first(pa.concat_tables(kept)).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
 def stratified_sample(rows: DataFrame, group: str, key: str, size: int, seed: int = 42) -> DataFrame:
-    """key of max(1, ceil(size/groups)) rows of each group by hash, then the `size` smallest keys."""
-    groups = rows.select(group).distinct().agg(F.count("*").alias("_groups"))
-    order = W.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))), key)
+    """key of max(1, ceil(size/groups)) rows of each group by hash, then the `size` smallest keys. Tasks hand on the `size` rows
+    of least hash of each group, as many as could be wanted, and the groups are counted among these."""
+    hashed = rows.select(group, key, F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))).alias("_hash"))
+    some = least_of_groups(hashed, group, ["_hash", key], size)
+    order = W.partitionBy(group).orderBy("_hash", key)
+    place = some.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= size)
+    groups = place.filter("_n = 1").agg(F.count("*").alias("_groups"))
     each = F.least(F.greatest(F.lit(1), F.ceil(F.lit(size) / F.col("_groups"))), F.lit(size))
-    picked = rows.withColumn("_n", F.row_number().over(order)).crossJoin(F.broadcast(groups)).filter(F.col("_n") <= each)
+    picked = place.crossJoin(F.broadcast(groups)).filter(F.col("_n") <= each)  # one row
     return picked.select(group, key).orderBy(key).limit(size)
 
 
@@ -84,6 +131,61 @@ def validate_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("fault", fault)
 
 
+SPAN_FIELDS = ("span_id", "trace_id", "retrieved_chunks", "retrieval_metadata", "llm_response")
+META_FIELDS = ("query", "retrieval_method", "top_k", "retrieved_chunks", "all_ranked_chunks")
+CHUNK_FIELDS = ("chunk_id", "rank", "dense_score", "sparse_score", "rrf_score")
+
+
+def spans(ranked: DataFrame, selected: DataFrame, texts: DataFrame, method: str = "hybrid", top_k: int = 3) -> DataFrame:
+    """span_id, body of each query: what a trace holds of its retrieval, as JSON. ranked: query_id, rank, chunk_id and the scores
+    of every candidate; selected: query_id, rank, chunk_id of those that were handed on; texts: query_id, trace_id, query,
+    response. A score that isn't there is null, not left out. A query without candidates has empty lists."""
+    each = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "dense_score", "sparse_score", "rrf_score"))).alias("_all"))
+    chosen = selected.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda c: c["chunk_id"]).alias("_chosen"))
+    rows = texts.join(each, "query_id", "left").join(chosen, "query_id", "left")
+    chosen = F.coalesce("_chosen", F.array().cast(rows.schema["_chosen"].dataType))
+    every = F.coalesce("_all", F.array().cast(rows.schema["_all"].dataType))
+    meta = F.struct("query", F.lit(method).alias("retrieval_method"), F.lit(top_k).alias("top_k"), chosen.alias("retrieved_chunks"), every.alias("all_ranked_chunks"))
+    body = F.struct(F.col("query_id").cast("string").alias("span_id"), "trace_id", chosen.alias("retrieved_chunks"), meta.alias("retrieval_metadata"), F.struct(F.col("response").alias("text")).alias("llm_response"))
+    return rows.select(F.col("query_id").alias("span_id"), F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
+def write_spans(rows: DataFrame, path: str) -> None:
+    """One JSON line for each span (body)."""
+    rows.select("body").write.mode("overwrite").text(path)
+
+
+def read_spans(spark, path: str) -> DataFrame:
+    """body, span of the lines under a path; span is a variant, null where a line isn't JSON."""
+    lines = spark.read.schema("body string").text(path)
+    return lines.select("body", F.try_parse_json("body").alias("span"))
+
+
+def span_faults(rows: DataFrame) -> DataFrame:
+    """rows (span: variant) with the first fault that is found by its paths, null for none. A field that is null is there."""
+    at = lambda v, path, kind="variant": F.try_variant_get(v, path, kind)
+    lacks = lambda v, k: at(v, f"$.{k}").isNull()
+    ranked = at(F.col("span"), "$.retrieval_metadata.all_ranked_chunks", "array<variant>")
+    fault = F.coalesce(
+        F.when(F.col("span").isNull(), F.lit("not JSON")), *[F.when(lacks(F.col("span"), k), F.lit(f"missing top-level field: {k}")) for k in SPAN_FIELDS],
+        *[F.when(lacks(F.col("span"), f"retrieval_metadata.{k}"), F.lit(f"missing retrieval_metadata.{k}")) for k in META_FIELDS],
+        F.when(F.coalesce(F.size(ranked), F.lit(0)) < 1, F.lit("all_ranked_chunks is empty")),
+        *[F.when(F.exists(ranked, lambda c: lacks(c, k)), F.lit(f"chunk missing field: {k}")) for k in CHUNK_FIELDS],
+    )
+    return rows.withColumn("fault", fault)
+
+
+def flat_spans(rows: DataFrame) -> DataFrame:
+    """span_id, trace_id, query, top_k, retrieved, candidates, best_chunk, best_score as columns of spans without faults."""
+    meta = lambda k, kind: F.try_variant_get("span", f"$.retrieval_metadata.{k}", kind)
+    return rows.select(
+        F.try_variant_get("span", "$.span_id", "string").alias("span_id"), F.try_variant_get("span", "$.trace_id", "string").alias("trace_id"), meta("query", "string").alias("query"),
+        meta("top_k", "int").alias("top_k"), F.size(F.try_variant_get("span", "$.retrieved_chunks", "array<variant>")).alias("retrieved"),
+        F.size(meta("all_ranked_chunks", "array<variant>")).alias("candidates"), meta("all_ranked_chunks[0].chunk_id", "string").alias("best_chunk"),
+        meta("all_ranked_chunks[0].rrf_score", "double").alias("best_score"),
+    )
+
+
 def verdicts(rows: DataFrame) -> DataFrame:
     """One row of verdict counts and the part that is safe: rows (verdict: SAFE, FLAGGED or null for invalid)."""
     valid = F.count_if(F.col("verdict").isNotNull())

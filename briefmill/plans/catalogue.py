@@ -504,13 +504,49 @@ def span_validation(spark, sf):
     return evaluate.validate_spans(rows).select("span_id", "fault")
 
 
+def _written_spans(spark, sf) -> DataFrame:
+    """The benchmark's retrieval as spans, of which four in five have a field taken away or emptied, written and read back."""
+    kept = ad.kept_chunks(spark, sf)
+    ranked = retrieval.ranking_metadata(_bench(spark, sf, kept).withColumn("scope", F.lit("all")))
+    ranked = ranked.withColumn("chunk_id", F.col("ordinal").cast("string"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("t"), (F.col("item_id") % 7).cast("string")).alias("trace_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("response"))
+    rows = evaluate.spans(ranked, ranked.filter("rank <= 3"), items)
+    cut = {1: r'"trace_id":"[^"]*",', 2: r'"top_k":3,', 4: r',"llm_response":[{]"text":null[}]'}
+    body = F.col("body")
+    for k, pattern in cut.items():
+        body = F.when(F.col("span_id") % 5 == k, F.regexp_replace("body", pattern, "")).otherwise(body)
+    body = F.when(F.col("span_id") % 5 == 3, F.regexp_replace("body", r'"all_ranked_chunks":\[.*?\][}]', '"all_ranked_chunks":[]}')).otherwise(body)
+    store = _store(spark)
+    evaluate.write_spans(rows.select(body.alias("body")), store.path("spans"))
+    return evaluate.read_spans(spark, store.path("spans"))
+
+
+@query("""SELECT item_id::VARCHAR AS span_id, CASE item_id % 5 WHEN 1 THEN 'missing top-level field: trace_id' WHEN 2 THEN 'missing retrieval_metadata.top_k' WHEN 3 THEN 'all_ranked_chunks is empty'
+ WHEN 4 THEN 'missing top-level field: llm_response' END AS fault FROM benchmark""")
+def span_faults(spark, sf):
+    """Faults planted by id, found in spans that were written and read again."""
+    rows = evaluate.span_faults(_written_spans(spark, sf))
+    return rows.select(F.try_variant_get("span", "$.span_id", "string").alias("span_id"), "fault")
+
+
+@query(f"""WITH {search_sql(_BENCH)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, ordinal) AS rank FROM fused)
+ SELECT b.item_id::VARCHAR AS span_id, 't' || (b.item_id % 7) AS trace_id, md5(b.text) AS query_md5, 3 AS top_k, count(*) FILTER (rank <= 3)::INT AS retrieved, count(*)::INT AS candidates,
+ min(ordinal::VARCHAR) FILTER (rank = 1) AS best_chunk, min(round(rrf_score, 6)) FILTER (rank = 1) AS best_score FROM r JOIN benchmark b ON b.item_id = r.query_id WHERE b.item_id % 5 = 0 GROUP BY ALL""")
+def flat_spans(spark, sf):
+    """The spans without faults as columns."""
+    rows = evaluate.span_faults(_written_spans(spark, sf)).filter("fault IS NULL")
+    return evaluate.flat_spans(rows).withColumn("query_md5", F.md5("query")).drop("query")
+
+
 @query()
 def review_brief(spark, sf):
     """The whole brief of the clauses in the test tables."""
     rows = ad.clause_table(spark, sf)
     errors = spark.createDataFrame([], "message string")
     documents = rows.select("document_id").distinct()
-    return report.brief("job", documents, risk.flags(rows), conflicts.contradictions(rows), errors, "2020-01-01 00:00 UTC")
+    classes = conflicts.classes(conflicts.both_kinds(rows))
+    some = conflicts.explained(conflicts.first_pairs(classes, report.LISTED))
+    return report.brief("job", documents, risk.flags(rows), some, errors, "2020-01-01 00:00 UTC", conflicts.counts(classes))
 
 
 # Lists, lookups and stores.

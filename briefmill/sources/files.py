@@ -39,7 +39,7 @@ def _pdf(content: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
 
 
-def _pages(path: str, content: bytes) -> tuple[list[tuple[int, str]], int]:
+def read_pages(path: str, content: bytes) -> tuple[list[tuple[int, str]], int]:
     """(number, text) of each page that isn't blank, and how many pages there are."""
     kind = re.search(r"\.[^./]*$", path.lower())
     kind = kind[0] if kind else ""
@@ -63,7 +63,7 @@ def load_pages(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    found, total = _pages(name, content)
+                    found, total = read_pages(name, content)
                     rows = [(name, name, n, text, total, None) for n, text in found]
                 except Exception as e:  # any fault of a file is that file's row
                     rows = [(name, name, None, None, None, f"{type(e).__name__}: {e}")]

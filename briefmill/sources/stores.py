@@ -99,6 +99,40 @@ class Store:
         return bool(fs.exists(p) and fs.delete(p, True))
 
 
+class Buckets:
+    """A table whose rows are in buckets by the hash of a key (a document's id, say): a change reads and rewrites the buckets of
+    its keys, and there are no more folders than buckets, however many keys."""
+
+    def __init__(self, store: Store, name: str, key: str, schema: str, buckets: int = 64):
+        self.store, self.name, self.key, self.schema, self.buckets = store, name, key, schema, buckets
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int"))
+
+    def _table(self) -> DataFrame:
+        return self.store.read(self.name, f"{self.schema}, bucket int")
+
+    def read(self) -> DataFrame:
+        return self._table().drop("bucket")
+
+    def upsert(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
+        """rows take the place of all rows of their keys, and of those of `keys`, which may have none any more. Written anew, the
+        same rows change nothing, so a change that was killed can be repeated."""
+        keys = self._bucketed(rows.select(self.key) if keys is None else keys.select(self.key).unionByName(rows.select(self.key))).distinct()
+        touched = [r["bucket"] for r in keys.select("bucket").distinct().collect()]  # as many as buckets
+        kept = self._table().filter(F.col("bucket").isin(touched)).join(keys.select(self.key), self.key, "left_anti")
+        columns = [c for c in kept.columns]
+        out = kept.unionByName(self._bucketed(rows).select(*columns))
+        have = {r["bucket"] for r in out.select("bucket").distinct().collect()} if touched else set()
+        if have:
+            self.store.replace(out.repartition("bucket"), self.name, "bucket")
+        for bucket in set(touched) - have:
+            self.store.delete(self.name, "bucket", str(bucket))
+
+    def delete(self, keys: DataFrame) -> None:
+        self.upsert(self.read().limit(0), keys)
+
+
 def shared_store(spark: SparkSession, name: str) -> Store:
     """A store beside the session's checkpoints. Where spark.checkpoint.dir is unset a local session gets one beside its
     warehouse; on a cluster that might be a machine's own disk, so it is refused."""

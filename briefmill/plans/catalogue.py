@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefmill.functions import fixed, text
-from briefmill.operators import chunks, clauses, conflicts, evaluate, graph, nearest, report, retrieval, risk
+from briefmill.operators import chunks, clauses, conflicts, evaluate, graph, nearest, report, retrieval, risk, windows
 from briefmill.plans import adapters as ad
 from briefmill.plans.adapters import CHUNKS_SQL, CLAUSES_SQL, PAGES_SQL, STRIP_SQL, TOKENS_SQL, search_sql, sql_list, table
 from briefmill.sources.files import cache_misses
@@ -287,6 +287,31 @@ def child_windows(spark, sf):
     return rows.select("doc_id", "page_number", "page_parent_index", "child_index", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), F.md5(F.array_join("tokens", " ")).alias("text_md5"))
 
 
+_WHITE = r"[ \t\n\x0B\f\r]"
+OFFSETS_SQL = f"""{PAGES_SQL}, pieces AS (SELECT doc_id, page_number, text, regexp_extract_all(text, '{_WHITE}*[^ \t\n\x0B\f\r]+') AS ps FROM pages),
+each AS (SELECT doc_id, page_number, text, unnest(ps) AS piece, unnest(range(0, len(ps))) AS i FROM pieces),
+tokens AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, page_number ORDER BY i)::INT AS e, count(*) OVER (PARTITION BY doc_id, page_number) AS n, length(regexp_replace(piece, '^{_WHITE}+', '')) AS size FROM each),
+spans AS (SELECT doc_id, page_number, text, i, (e - size)::INT AS b, e, n, i // 2048 AS p, least(2048, n - (i // 2048) * 2048) AS m FROM tokens),
+firsts AS (SELECT *, unnest(range(0, CASE WHEN m <= 256 THEN 1 ELSE ceil((m - 256) / 205)::BIGINT + 1 END)) AS c FROM spans WHERE i % 2048 = 0)"""
+
+
+@query(f"""WITH {OFFSETS_SQL} SELECT f.doc_id, f.page_number, f.p::INT AS page_parent_index, f.c::INT AS child_index, a.b AS start, z.e AS "end", (least(256, f.m - f.c * 205))::INT AS token_count,
+ md5(substr(f.text, a.b + 1, z.e - a.b)) AS text_md5 FROM firsts f JOIN spans a ON a.doc_id = f.doc_id AND a.page_number = f.page_number AND a.i = f.p * 2048 + f.c * 205
+ JOIN spans z ON z.doc_id = f.doc_id AND z.page_number = f.page_number AND z.i = f.p * 2048 + least(f.c * 205 + 256, f.m) - 1""")
+def child_offsets(spark, sf):
+    """Children as spans of the page's own text."""
+    rows = windows.children_of(windows.spans(ad.page_table(spark, sf), merge=None))
+    return rows.select("doc_id", "page_number", "page_parent_index", "child_index", "start", "end", "token_count", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {PAGES_SQL} SELECT doc_id, page_number, md5(text) AS text_md5 FROM pages WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]')")
+def parents_tile_pages(spark, sf):
+    """The texts of a page's parent windows joined, against the page."""
+    rows = windows.parents_of(windows.spans(ad.page_table(spark, sf), merge=None))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_parent_index", "text"))), lambda x: x["text"]), "")
+    return rows.groupBy("doc_id", "page_number").agg(F.md5(joined).alias("text_md5"))
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, count(*) AS chunks, max(chunk_index) AS last_index, sum(token_count)::BIGINT AS tokens FROM chunks GROUP BY doc_id")
 def chunk_numbering(spark, sf):
     return ad.chunk_table(spark, sf).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("chunk_index").cast("long").alias("last_index"), F.sum("token_count").alias("tokens"))
@@ -674,6 +699,75 @@ def retrieval_audit(spark, sf):
     return rows.select("query_id", "scope", "candidates", F.size("selected").alias("n_selected"), "selected_are_ranked")
 
 
+# Text functions and counts over values that the tables decide.
+_AMOUNTS = {
+    0: "'$' || n", 1: "n || ' dollars'", 2: "'USD ' || (n // 1000) || ',' || lpad((n % 1000)::VARCHAR, 3, '0') || '.50'", 3: "'thirty (' || (n % 40) || ') days'", 4: "(n % 9) || '.' || (n % 10) || ' million'",
+    5: "'State of  ' || 'NATION_' || (n % 25)", 6: "'nation_' || (n % 25) || ' state '", 7: "'-' || (n % 1000) || '.7 EUR'", 8: "(n % 50) || 'k'", 9: "' twenty-five years and ' || (n % 30) || ' days'",
+}
+
+
+@query("SELECT value, " + form_sql("value") + " AS form FROM (SELECT DISTINCT CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _AMOUNTS.items()) + " END AS value FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n FROM orders))")
+def number_forms(spark, sf):
+    """Normal forms of amounts, terms and places made of the orders' totals."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("n"))
+    n, text_of = F.col("n"), lambda c: c.cast("string")
+    made = {
+        0: F.concat(F.lit("$"), text_of(n)), 1: F.concat(text_of(n), F.lit(" dollars")), 2: F.concat(F.lit("USD "), text_of(F.floor(n / 1000)), F.lit(","), F.lpad(text_of(n % 1000), 3, "0"), F.lit(".50")),
+        3: F.concat(F.lit("thirty ("), text_of(n % 40), F.lit(") days")), 4: F.concat(text_of(n % 9), F.lit("."), text_of(n % 10), F.lit(" million")), 5: F.concat(F.lit("State of  NATION_"), text_of(n % 25)),
+        6: F.concat(F.lit("nation_"), text_of(n % 25), F.lit(" state ")), 7: F.concat(F.lit("-"), text_of(n % 1000), F.lit(".7 EUR")), 8: F.concat(text_of(n % 50), F.lit("k")),
+        9: F.concat(F.lit(" twenty-five years and "), text_of(n % 30), F.lit(" days")),
+    }
+    value = F.coalesce(*[F.when(F.col("o_orderkey") % 10 == k, v) for k, v in made.items()])
+    return rows.select(value.alias("value")).distinct().select("value", text.normal_form(F.col("value")).alias("form"))
+
+
+@query(f"""SELECT doc_id, md5(CASE WHEN len(p) = 0 THEN {STRIP_SQL.format("t")} ELSE array_to_string(list_transform(p, lambda x: {STRIP_SQL.format("x")}), chr(10) || chr(10)) END) AS merged_md5, len(p)::INT AS paragraphs
+ FROM (SELECT doc_id, t, list_filter(string_split(t, chr(10) || chr(10)), lambda x: length({STRIP_SQL.format("x")}) > 0) AS p FROM (SELECT doc_id, replace(text, chr(10), '  ' || chr(10) || chr(10)) AS t FROM documents WHERE text IS NOT NULL))""")
+def merged_headings(spark, sf):
+    """Each line a paragraph: short ones go to the next longer one, none is lost."""
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit("  \n\n")).alias("t"))
+    parts = F.filter(F.split("t", "\n\n", -1), lambda p: F.length(text.strip(p)) > 0)
+    return rows.select("doc_id", F.md5(text.merge_headings(F.col("t"))).alias("merged_md5"), F.size(parts).alias("paragraphs"))
+
+
+@query(f"""WITH {CHUNKS_SQL}, w AS (SELECT ordinal, tokens[i + 1] AS token, ((i * 7 + ordinal) % 13 - 2)::DOUBLE AS w FROM chunks, range(0, 256) t(i) WHERE i < len(tokens))
+SELECT ordinal AS chunk_id, token, max(w) AS weight FROM w WHERE w > 0 GROUP BY ALL""")
+def pooled_weights(spark, sf):
+    """Weights that differ from place to place of a token in a chunk: the greatest counts, and those of 0 and below don't."""
+    rows = ad.chunk_table(spark, sf).select("ordinal", F.posexplode("tokens").alias("i", "token"))
+    rows = rows.select(F.col("ordinal").alias("chunk_id"), "token", ((F.col("i") * 7 + F.col("ordinal")) % 13 - 2).cast("double").alias("weight"))
+    return retrieval.sparse_pooling(rows).select("chunk_id", F.explode("sparse").alias("token", "weight"))
+
+
+_NAMED = "'Signed by Trust' || (o_custkey % 7) || ' LLC, with House ' || (o_orderkey % 30) || ' Holdings Ltd., for Firm' || (o_custkey % 50) || ' Corp. and House ' || (o_orderkey % 30) || ' Holdings Ltd.'"
+
+
+@query("SELECT clause_text, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' / ') AS parties FROM (SELECT clause_text, " + PARTIES_SQL + " AS l FROM (SELECT DISTINCT " + _NAMED + " AS clause_text FROM orders))")
+def parties_in_order(spark, sf):
+    """Names in the order in which a text has them, each once."""
+    part = lambda c, n: (F.col(c) % n).cast("string")
+    house = F.concat(F.lit("House "), part("o_orderkey", 30), F.lit(" Holdings Ltd."))
+    said = F.concat(F.lit("Signed by Trust"), part("o_custkey", 7), F.lit(" LLC, with "), house, F.lit(", for Firm"), part("o_custkey", 50), F.lit(" Corp. and "), house)
+    rows = table(spark, sf, "orders").select(said.alias("clause_text")).distinct()
+    return rows.select("clause_text", F.array_join(text.parties(F.col("clause_text")), " / ").alias("parties"))
+
+
+@query("""SELECT count(*) AS spans, count(v) AS valid, count(*) FILTER (v = 'SAFE') AS safe, coalesce(round(count(*) FILTER (v = 'SAFE') / count(v), 3), 0) AS safe_rate
+ FROM (SELECT CASE l_returnflag WHEN 'N' THEN 'SAFE' WHEN 'A' THEN 'FLAGGED' END AS v FROM lineitem)""")
+def verdict_counts(spark, sf):
+    flag = F.when(F.col("l_returnflag") == "N", "SAFE").when(F.col("l_returnflag") == "A", "FLAGGED")
+    return evaluate.verdicts(table(spark, sf, "lineitem").select(flag.alias("verdict")))
+
+
+@query(f"""{FLAGS_SQL}, p AS (SELECT name, row_number() OVER () AS place FROM (SELECT unnest({sql_list(fixed.CATEGORIES)}) AS name)),
+ f AS (SELECT clause_type, min(document_id * 100 + place) AS o FROM flags JOIN p ON name = clause_type WHERE is_missing_clause AND risk_level = 'high' GROUP BY 1)
+ SELECT array_to_string(list(clause_type ORDER BY o), ', ') AS names FROM f""")
+def missing_high_in_order(spark, sf):
+    """The names of a brief's last action, in the order in which the job meets them."""
+    rows = report.in_order_of_flags(risk.flags(ad.clause_table(spark, sf))).filter("is_missing_clause AND risk_level = 'high'")
+    return report.in_order_of_sight(rows, "_place").select(F.array_join("names", ", ").alias("names"))
+
+
 # A job's stages, over all documents, with a model that knows the category alone.
 _KNOWN = [(c, i % 3 != 0, ad.TEXTS[i % 4], ad.VALUES[i % 8], 0.3 if i % 5 == 0 else 0.9) for i, c in enumerate(fixed.CATEGORIES)]
 

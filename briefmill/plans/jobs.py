@@ -169,7 +169,7 @@ class Jobs:
         asked = self.spark.createDataFrame([("q", question)], "query_id string, text string")
         fused = pipeline.ranked(asked, dense, sparse, self.models, self.store)
         best = retrieval.across_documents(retrieval.best_parents(fused, child, fixed.QA_PER_DOCUMENT))
-        texts = window.select(F.col("parent_id").alias("parent"), F.array_join("tokens", " ").alias("parent_text"))
+        texts = window.select(F.col("parent_id").alias("parent"), F.col("text").alias("parent_text"))
         text = retrieval.context_text(F.col("parent_text"), F.col("text"))
         rows = best.join(texts, "parent", "left").select(F.col("scope").alias("document_id"), "page_number", text.alias("text"), cut(F.trim("text"), 200).alias("excerpt"), "place")
         return rows.orderBy("place")

@@ -178,14 +178,14 @@ def embedded(store: Store, rows: DataFrame, embed: Callable[[DataFrame], DataFra
 
 
 def save_results(metrics: DataFrame, per_row: DataFrame, path: str) -> None:
-    """One JSON line: the metrics, and all rows under per_row. An evaluation's rows are a few thousand."""
-    rows = per_row.agg(F.collect_list(F.struct(*per_row.columns)).alias("per_row"))
-    metrics.crossJoin(rows).coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines of the metrics, and of all rows under per_row: as many files as there are tasks."""
+    metrics.write.mode("overwrite").json(f"{path}/metrics")
+    per_row.write.mode("overwrite").json(f"{path}/per_row")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The rows of results that were saved."""
-    return spark.read.json(path).select(F.explode("per_row").alias("r")).select("r.*")
+    return spark.read.json(f"{path}/per_row")
 
 
 def sample_ids(store: Store, size: int, pick: Callable[[], DataFrame], table: str = "sample_ids") -> DataFrame:

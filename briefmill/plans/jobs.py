@@ -65,6 +65,23 @@ class Jobs:
         rows = self.spark.createDataFrame([tuple(n[c] for c in names) for n in self._notes(job_id)], JOBS)
         return rows.withColumn("seconds", F.expr("lead(at) OVER (PARTITION BY job_id ORDER BY at) - at")).orderBy("at")
 
+    def jobs(self) -> DataFrame:
+        """The latest note of every job that isn't deleted."""
+        names = ("job_id", "at", "state", "message", "documents")
+        last = [self.status(j) for j in self.store.keys("jobs")]
+        return self.spark.createDataFrame([tuple(n[c] for c in names) for n in last if n["state"] != "deleted"], JOBS)
+
+    def end_hanging(self, seconds: float) -> list[str]:
+        """Jobs that run but have given no sign (a note, or a stage's row) for so long are marked as failed, and can be resumed."""
+        ended = []
+        for job_id in self.store.keys("jobs"):
+            now = self.status(job_id)
+            signs = [now["at"], *(r["at"] for r in self.store.records(self.store.under("progress", job_id)))]
+            if now["state"] == "running" and time.time() - max(signs) > seconds:
+                self._note(job_id, "failed", f"no sign of life for {int(time.time() - max(signs))} s", now["documents"])
+                ended.append(job_id)
+        return ended
+
     def wait(self, job_id: str, every: float = 5.0, most: float = 3600.0, look: Callable[[dict], None] | None = None) -> dict:
         """Ask for the status until the job has ended; TimeoutError after `most` seconds."""
         end = time.time() + most

@@ -27,10 +27,10 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def under(self, name: str, key: str) -> str:
-        """The name of a table of its own for a key, so that reading one key opens no other's files."""
+    def under(self, name: str, *keys: str) -> str:
+        """The name of a table of its own for keys, so that reading one key's opens no other's files."""
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        return "/".join([name, *map(escape, key.split("/"))])
+        return "/".join([name, *map(escape, keys)])
 
     def _files(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -62,6 +62,12 @@ class Store:
                 stream.close()
         return found
 
+    def keys(self, name: str) -> list[str]:
+        """The keys that under() has been given for a name, in order."""
+        folder, fs = self._files(self.path(name))
+        unescape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        return sorted(unescape(f.getPath().getName()) for f in fs.listStatus(folder) if f.isDirectory()) if fs.exists(folder) else []
+
     def exists(self, name: str) -> bool:
         p, fs = self._files(self.path(name))
         return fs.exists(p)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import ascii_lower, materialize, mix64
+from briefmill.llm.common import ascii_lower, free_names, materialize, mix64
 
 LEVELS, GAMMA = 24, 2
 #: Digests in a shard on average; a shard's table and lookups fit in a few MB.
@@ -143,15 +143,17 @@ def classify(docs: DataFrame, parts: int = 2) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that classify() keeps, and of rows repeating doc_id and text only one."""
-    kept = classify(docs).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_copies"))
-    kept = materialize(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "_copies"), "kept")
+    """The rows of docs that classify() keeps, and of rows repeating doc_id and text only one. All columns of docs stay,
+    whatever their names."""
+    copies, doc, sha, own = free_names(docs, "_copies", "_id", "_sha", "_text")
+    kept = classify(docs.select("doc_id", "text")).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias(copies))
+    kept = materialize(kept.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), copies), "kept")
     text = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    rows = docs.withColumn("_text", text)
-    match = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_text"] == kept["_sha"])
-    one = rows.join(kept, match).select(*docs.columns, "_text", "_copies")
-    if kept.filter("_copies > 1").isEmpty():
-        return one.drop("_copies", "_text")
+    rows = docs.withColumn(own, text)
+    match = rows["doc_id"].eqNullSafe(kept[doc]) & (rows[own] == kept[sha])
+    one = rows.join(kept, match).select(*[rows[f"`{c}`"] for c in docs.columns], own, copies)
+    if kept.filter(F.col(copies) > 1).isEmpty():
+        return one.drop(copies, own)
     # Repeated ids are rare: only their rows move again.
-    again = one.filter("_copies > 1").dropDuplicates(["doc_id", "_text"])
-    return one.filter("_copies = 1").unionByName(again).drop("_copies", "_text")
+    again = one.filter(F.col(copies) > 1).dropDuplicates(["doc_id", own])
+    return one.filter(F.col(copies) == 1).unionByName(again).drop(copies, own)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import ascii_lower, discard, materialize
+from briefmill.llm.common import ascii_lower, discard, free_names, materialize
 
 #: Rarity is counted in ROWS x PLACES buckets, a number each.
 ROWS, PLACES = 512, 2048
@@ -196,12 +196,13 @@ def summary(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def remove(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with the lines that find() gives taken out of text."""
-    gone = find(docs, percent).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    """docs with the lines that find() gives taken out of text; other columns stay, whatever their names."""
+    (name,) = free_names(docs, "_gone")
+    gone = find(docs.select("doc_id", "text"), percent).groupBy("doc_id").agg(F.collect_set("line_no").alias(name))
     rows = docs.join(gone, "doc_id", "left")
     kept = F.filter(
         F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: ~F.coalesce(F.array_contains("_gone", s["i"]), F.lit(False)),
+        lambda s: ~F.coalesce(F.array_contains(name, s["i"]), F.lit(False)),
     )
     text = F.array_join(F.transform(kept, lambda s: s["x"]), "\n")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(text)).select(*docs.columns)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import zstandard
@@ -41,9 +43,36 @@ def materialize(df: DataFrame, name: str, **options) -> DataFrame:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+#: Tables that were made inside each scratch() that is open.
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialize() makes inside are removed at the end, all but those that the given function is told to keep.
+    Nothing lazy that reads the others may leave."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        if _scratch:
+            _scratch[-1].extend(kept)
+        discard(*[t for t in made if not any(t is k for k in kept)])
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables of materialize() that nothing will read any more."""
     for t in tables:

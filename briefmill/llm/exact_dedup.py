@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import ascii_lower, free_names, materialize, mix64
+from briefmill.llm.common import ascii_lower, free_names, materialize, mix64, scratch
 
 LEVELS, GAMMA = 24, 2
 #: Digests in a shard on average; a shard's table and lookups fit in a few MB.
@@ -146,8 +146,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that classify() keeps, and of rows repeating doc_id and text only one. All columns of docs stay,
     whatever their names."""
     copies, doc, sha, own = free_names(docs, "_copies", "_id", "_sha", "_text")
-    kept = classify(docs.select("doc_id", "text")).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias(copies))
-    kept = materialize(kept.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), copies), "kept")
+    with scratch() as keep:
+        kept = classify(docs.select("doc_id", "text")).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias(copies))
+        kept = keep(materialize(kept.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), copies), "kept"))
     text = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
     rows = docs.withColumn(own, text)
     match = rows["doc_id"].eqNullSafe(kept[doc]) & (rows[own] == kept[sha])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import materialize
+from briefmill.llm.common import materialize, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,8 +34,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked with nothing and stay, null texts too; all rows of the staying doc_id stay; an empty table stays empty."""
     from briefmill.llm.jaccard_join import join
 
-    found = join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    found = materialize(found, "representatives")
+    with scratch() as keep:  # the join's own tables are as large as the documents
+        found = join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+        found = keep(materialize(found, "representatives"))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi").select(*COLUMNS)
 
 

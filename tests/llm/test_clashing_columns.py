@@ -20,3 +20,18 @@ def test_removed_lines_leave_all_columns(spark):
     got = remove(spark.createDataFrame(rows, "doc_id long, text string, _gone string, line_no long"))
     assert got.columns == ["doc_id", "text", "_gone", "line_no"]
     assert sorted(map(tuple, got.collect())) == [rows[0], (2, "what only this one says", None, 2)]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from briefmill.llm.common import materialize, scratch
+
+    there = lambda t: os.path.exists(t.stored_at.removeprefix("file:"))
+    with scratch() as keep:
+        with scratch() as inner:
+            a, b = materialize(spark.range(3), "a"), inner(materialize(spark.range(4), "b"))
+        assert not there(a) and there(b) and b.count() == 4
+        c = keep(materialize(spark.range(5), "c"))
+    assert not there(b) and there(c) and c.count() == 5
+    assert there(materialize(spark.range(1), "d"))

@@ -3,7 +3,7 @@
 Every line is read as a set of tokens once. Lines of equal sets are one line, kept where it comes first. Each line's
 tokens are ordered by rarity (their counts in a fixed number of hash buckets; ties by hash), and its prefix is as long
 as a match needs. Lines that meet in a prefix token are candidates if their lengths, the token's positions and a parity
-outline of their sets allow enough overlap. First each line is held against its nearest neighbours in its lists; only
+outline of their sets allow enough overlap, and a wider outline before their sets move. First each line is held against its nearest neighbours in its lists; only
 lines that no earlier one of these matches are then paired with all earlier candidates. So a large group of near copies
 costs a few pairs a line, and no candidate of a line that stays is left out.
 """
@@ -23,6 +23,8 @@ ROWS, PLACES = 512, 2048
 #: Neighbours of a list that a line is held against first, lines that one neighbourhood's sort may hold, and parts in
 #: which the full pairing goes through the tokens, so that a part's shuffle is a fraction of the lists.
 NEAREST, SORTED_LINES, TOKEN_PARTS = 3, 250_000, 3
+#: Words of 64 bits of the outlines that pairs are held against before their sets; a power of two.
+OUTLINE_WORDS = 8
 
 #: Words repeat, so that a file's distinct ones as a dictionary and places in it take less than half of the numbers.
 WIDE = {"parquet.dictionary.page.size": str(32 << 20)}
@@ -99,19 +101,46 @@ def _by_tokens(prefixes: DataFrame, met: Callable[[DataFrame], DataFrame], *more
     return materialize(pairs.distinct(), "met")
 
 
-def _verified(pairs: DataFrame, read: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """The later line's id of each pair (a, b) of ids that match, b before a; lines of one place aren't before each other."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = firsts.join(ids, "id", "left_semi").select("id", "line", "d", "l")
-    sets = materialize(read.select("line", "tokens").join(wanted, "line").drop("line"), "token_sets")
-    side = lambda c: sets.select(*[F.col(x).alias(c + x) for x in sets.columns])
-    match = F.expr(f"100 * _o >= {percent} * (size(atokens) + size(btokens) - _o) AND (ad <> bd OR al <> bl)")
+def _bit(t: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _wide_outline(tokens: Column) -> list[Column]:
+    """A parity outline of 64 * OUTLINE_WORDS bits, as columns o0, o1 and so on."""
+    word = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(OUTLINE_WORDS - 1))
+    of = lambda w: F.aggregate(F.filter(tokens, lambda t: word(t) == w), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t)))
+    return [of(w).alias(f"o{w}") for w in range(OUTLINE_WORDS)]
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _both(pairs: DataFrame, rows: DataFrame, kept: Column, name: str) -> DataFrame:
+    """The pairs (a, b) whose rows (id and more, the names led by a or b) are as kept says; a part's rows move at a time."""
+    side = lambda c: rows.select(*[F.col(x).alias(c + x) for x in rows.columns])
     found = None
-    for part in range(TOKEN_PARTS):  # a part's sets move at a time
+    for part in range(TOKEN_PARTS):
         both = pairs.filter(F.pmod("a", F.lit(TOKEN_PARTS)) == part).join(side("a"), F.col("a") == F.col("aid"))
-        both = both.join(side("b"), F.col("b") == F.col("bid")).withColumn("_o", F.size(F.array_intersect("atokens", "btokens")))
-        got = materialize(both.filter(match).select(F.col("a").alias("id")).distinct(), "found")
+        got = materialize(both.join(side("b"), F.col("b") == F.col("bid")).filter(kept).select("a", "b"), name)
         found = got if found is None else found.unionByName(got)
+    return found
+
+
+def _verified(pairs: DataFrame, read: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """The later line's id of each pair (a, b) of ids that match, b before a; lines of one place aren't before each other.
+    Wide outlines, a fraction of the sets' size, leave few pairs whose sets must move."""
+    wanted = firsts.join(_ids(pairs), "id", "left_semi").select("id", "line", "d", "l")
+    sets = read.select("line", "tokens").join(wanted, "line").drop("line")
+    sets = materialize(sets.select("*", F.size("tokens").alias("n"), *_wide_outline(F.col("tokens"))), "token_sets")
+    differ = " + ".join(f"bit_count(ao{w} ^ bo{w})" for w in range(OUTLINE_WORDS))  # at most the tokens that one of two has
+    needed = f"((an + bn) * {percent} + {99 + percent}) div {100 + percent}"
+    outlines = sets.select("id", "n", *[f"o{w}" for w in range(OUTLINE_WORDS)])
+    close = _both(pairs, outlines, F.expr(f"(an + bn - ({differ})) div 2 >= {needed}"), "close")
+    both = F.size(F.array_intersect("atokens", "btokens"))
+    match = (100 * both >= percent * (F.size("atokens") + F.size("btokens") - both)) & F.expr("ad <> bd OR al <> bl")
+    moved = sets.select("id", "tokens", "d", "l").join(_ids(close), "id", "left_semi")
+    found = materialize(_both(close, moved, match, "found").select(F.col("a").alias("id")).distinct(), "later")
     discard(sets)
     return found
 
@@ -138,8 +167,7 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     rarity = _rarity(read)
     # a parity outline: the exclusive or of a bit for each token
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    outline = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t)))
+    outline = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t)))
     n = F.size("tokens")
     # the classes are read in one place, so that the optimizer puts the subquery there and no row carries them
     ranked = _ranked(F.col("tokens"), F.col("_classes"))

@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import materialize, mix64, pack_sorted, unpack_sorted
+from briefmill.llm.common import give_back, materialize, mix64, pack_sorted, unpack_sorted
 from briefmill.llm.components import components
 from briefmill.llm.shingles import digest, shingle_sets
 
 #: Sets up to this size may count as small; the boundary is chosen at or below it.
 MOST_SMALL = 20
 BLOCK_BYTES, BLOCK_DOCS, BUCKET_BYTES = 16_000_000, 60_000, 8_000_000
+#: Bytes of texts that are read as sets at once.
+READ_BYTES = 2_000_000
 MANY = 0xFFFF
 #: Places of a list within which entries are compared at first, and 64-bit words of an outline for the lists.
 NEAREST, FOLDS = 6, 8
@@ -61,17 +63,28 @@ def _blocks(buckets: int, words: int):
     """Rows of a block: kind 0, its distinct shingles for one bucket; kind 1, its documents, for the block itself."""
 
     def flush(block: int, ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        # arrays as long as the block's words are let go as soon as they have served: a task holds few of them at once
         sizes = np.array([len(s) for s in sets], np.int64)
+        docs = [
+            {"doc_id": i, "n": int(n), "digest": digest(s), "small": s.astype("<u8").tobytes() if n <= MOST_SMALL else None}
+            for i, n, s in zip(ids.to_pylist(), sizes, sets, strict=True)
+        ]
         flat = np.concatenate(sets)
+        sets.clear()
         order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, bool)
-        begin = np.flatnonzero(new)
-        count = np.diff(np.concatenate([begin, [len(flat)]]))
+        flat = flat[order]
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
+        del order
+        begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+        count = np.diff(np.append(begin, len(flat))).astype(np.uint32)
         keys, who = flat[begin], np.where(count > 1, MANY, owner[begin]).astype(np.uint16)
+        del begin
         shared = np.repeat(count > 1, count)
-        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+        own_keys, own_who = np.ascontiguousarray(flat[shared]).tobytes(), owner[shared].tobytes()
+        del flat, owner, shared
+        # the least key of each bucket
+        bounds = [-(-(b << 32) // buckets) << 32 for b in range(buckets)]
+        cut = np.append(np.searchsorted(keys, np.array(bounds, np.uint64)), len(keys))
         rows: dict[str, list] = {c: [] for c in ("bucket", "kind", "block", "keys", "who", "counts", "docs")}
 
         def add(**row):
@@ -83,29 +96,30 @@ def _blocks(buckets: int, words: int):
             if part.start < part.stop:
                 counts = count[part][who[part] == MANY].astype("<u4")
                 add(bucket=b, kind=0, block=block, keys=pack_sorted(keys[part]), who=who[part].tobytes(), counts=counts.tobytes())
-        docs = [
-            {"doc_id": i, "n": int(n), "digest": digest(s), "small": s.astype("<u8").tobytes() if n <= MOST_SMALL else None}
-            for i, n, s in zip(ids.to_pylist(), sizes, sets, strict=True)
-        ]
-        add(
-            bucket=block % buckets, kind=1, block=block, keys=np.ascontiguousarray(flat[shared]).tobytes(),
-            who=owner[shared].tobytes(), counts=b"", docs=docs,
-        )
+        add(bucket=block % buckets, kind=1, block=block, keys=own_keys, who=own_who, counts=b"", docs=docs)
         return pa.RecordBatch.from_pydict(rows, schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        ids, texts, size, made = [], [], 0, 0
+        ids, texts, sets, size, read, made = [], [], [], 0, 0, 0
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(i.as_py())
                 texts.append(t)
                 size += len(t or b"")
-                if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
-                    yield flush(task << 24 | made, pa.array(ids, pa.int64()), shingle_sets(texts, words))
-                    ids, texts, size, made = [], [], 0, made + 1
+                read += len(t or b"")
+                full = size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS
+                if full or read >= READ_BYTES:  # texts go as they are read
+                    sets += shingle_sets(texts, words)
+                    texts, read = [], 0
+                if full:
+                    yield flush(task << 24 | made, pa.array(ids, pa.int64()), sets)
+                    ids, sets, size, made = [], [], 0, made + 1
         if ids:
-            yield flush(task << 24 | made, pa.array(ids, pa.int64()), shingle_sets(texts, words))
+            sets += shingle_sets(texts, words)
+            texts = []
+            yield flush(task << 24 | made, pa.array(ids, pa.int64()), sets)
+        give_back()
 
     return run
 

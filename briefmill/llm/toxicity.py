@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefmill.llm.common import materialize
+from briefmill.llm.common import give_back, materialize
 
 #: Labelled rows that the models are fitted on at most, and features that a model has at most.
 MOST_ROWS, MOST_FEATURES = 8000, 6000
@@ -246,6 +246,8 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *columns, pa.array(found[:, -1] >= threshold)], [*batch.schema.names, *new]
             )
+        del of
+        give_back()
 
     from pyspark.sql import types as T
 

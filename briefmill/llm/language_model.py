@@ -181,23 +181,31 @@ def start(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def step(net: dict, h: np.ndarray, x: np.ndarray) -> tuple:
-    """The state after token x, and what the way back needs."""
-    k = HIDDEN
-    a, g = net["inputs"][x], h @ net["state"]
-    zr = a[:, : 2 * k] + g[:, : 2 * k]
+def gates(net: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of inputs (3, tokens, HIDDEN) and state (3, HIDDEN, HIDDEN), a gate after the other, so that each step's
+    arrays are whole."""
+    apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2))
+    return apart(net["inputs"]), apart(net["state"])
+
+
+def step(net: dict | tuple, h: np.ndarray, x: np.ndarray, tape: tuple | None = None) -> tuple:
+    """The state after token x, and what the way back needs (gates and new part, written to tape). net may be its gates()."""
+    weights = gates(net) if isinstance(net, dict) else net
+    a, (g, n) = weights[0].take(x, axis=1), tape or (np.empty((3, *h.shape), h.dtype), np.empty_like(h))
+    np.matmul(h, weights[1], out=g)
+    zr = g[:2]
+    zr += a[:2]
     np.negative(zr, out=zr)
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    z, r = zr[:, :k], zr[:, k:]
-    n = r * g[:, 2 * k :]
-    n += a[:, 2 * k :]
+    np.multiply(zr[1], g[2], out=n)
+    n += a[2]
     np.tanh(n, out=n)
     new = h - n
-    new *= z
+    new *= zr[0]
     new += n
-    return new, (h, z, r, n, g[:, 2 * k :])
+    return new, (g, n)
 
 
 def outputs(net: dict, vocabulary: Vocabulary, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
@@ -206,7 +214,7 @@ def outputs(net: dict, vocabulary: Vocabulary, h: np.ndarray, y: np.ndarray, gra
     # tokens in order of classes; one column for each: sums over classes or words then run along rows
     c = vocabulary.class_of[y]
     order = np.argsort(c.astype(np.int16), kind="stable")
-    c, inside, h = c[order], vocabulary.inside[y[order]], h[order]
+    c, inside, h = c[order], vocabulary.inside[y[order]], h.take(order, axis=0)
     cut, rows = np.searchsorted(c, np.arange(vocabulary.n_classes)), np.arange(len(y))
     ht = np.ascontiguousarray(h.T)
     z = net["class"].T @ ht
@@ -259,13 +267,14 @@ def backpropagate(
     steps, xt = x.shape[1], np.ascontiguousarray(x.T)
     there, known = (xt >= 0).ravel(), np.maximum(xt, 0)
     begins = fresh.any(axis=0) if fresh is not None else np.zeros(steps, bool)
-    before, z, r, n, g = tape = [np.empty((steps, len(x), k), h.dtype) for _ in range(5)]
+    weights, before = gates(net), np.empty((steps, len(x), k), h.dtype)
+    zrg, n = np.empty((3, *before.shape), h.dtype), np.empty_like(before)
     for t in range(steps):
         if begins[t]:
             h = np.where(fresh[:, t, None], 0, h)
-        h, kept = step(net, h, known[t])
-        for part, one in zip(tape, kept, strict=True):
-            part[t] = one
+        before[t] = h
+        h = step(weights, h, known[t], (zrg[:, t], n[t]))[0]
+    z, r, g = zrg
     full, flat, y = bool(there.all()), before.reshape(-1, k), xt.ravel()
     if not full:
         flat, y = flat[there], y[there]
@@ -274,29 +283,31 @@ def backpropagate(
         back, d_states = d_states, np.zeros((steps * len(x), k), h.dtype)
         d_states[there] = back
     d_states = d_states.reshape(steps, len(x), k)
-    dh, d_inputs = np.zeros_like(h), np.empty((steps, len(x), 3 * k), h.dtype)
-    d_gates = np.empty_like(d_inputs)
+    dh, d_inputs = np.zeros_like(h), np.empty_like(zrg)
     of_n, of_z, of_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), g * r * (1 - r)
-    back_state = np.ascontiguousarray(net["state"].T)
+    back_state, d_n = np.ascontiguousarray(weights[1].transpose(0, 2, 1)), np.empty_like(n)
     for t in reversed(range(steps)):
-        d, dg = d_inputs[t], d_gates[t]
-        dn = d[:, 2 * k :]
+        dz, dr, dn = d_inputs[0, t], d_inputs[1, t], d_inputs[2, t]
         np.multiply(dh, of_n[t], out=dn)
-        np.multiply(dh, of_z[t], out=d[:, :k])
-        np.multiply(dn, of_r[t], out=d[:, k : 2 * k])
-        dg[:, : 2 * k] = d[:, : 2 * k]
-        np.multiply(dn, r[t], out=dg[:, 2 * k :])
+        np.multiply(dh, of_z[t], out=dz)
+        np.multiply(dn, of_r[t], out=dr)
+        np.multiply(dn, r[t], out=d_n[t])
         dh = dh * z[t]
-        dh += dg @ back_state
+        for d, w in zip((dz, dr, d_n[t]), back_state, strict=True):
+            dh += d @ w
         dh += d_states[t]
         if begins[t]:
             dh = np.where(fresh[:, t, None], 0, dh)
-    grads["state"] += before.reshape(-1, k).T @ d_gates.reshape(-1, 3 * k)
+    flat = before.reshape(-1, k).T
+    for i, d in enumerate((d_inputs[0], d_inputs[1], d_n)):
+        grads["state"][:, i * k : (i + 1) * k] += flat @ d.reshape(-1, k)
     order = np.argsort(y.astype(np.int16), kind="stable")
     if len(y):
         first = np.flatnonzero(np.diff(y[order], prepend=-1))
         places = order if full else np.flatnonzero(there)[order]
-        grads["inputs"][y[order[first]]] += np.add.reduceat(d_inputs.reshape(-1, 3 * k)[places], first)
+        words = y[order[first]]
+        for i, d in enumerate(d_inputs):
+            grads["inputs"][words, i * k : (i + 1) * k] += np.add.reduceat(d.reshape(-1, k).take(places, axis=0), first)
     return h, {name: g / max(1, len(y)) for name, g in grads.items()}, -float(logs.sum())
 
 
@@ -371,7 +382,7 @@ def log_likelihoods(net: dict, vocabulary: Vocabulary, ids: np.ndarray, many: np
     out = np.zeros(len(many))
     order = np.argsort(-many, kind="stable")
     length, begin = many[order], (np.cumsum(many) - many)[order]
-    h = np.zeros((len(many), HIDDEN), np.float32)
+    h, weights = np.zeros((len(many), HIDDEN), np.float32), gates(net)
     for w in range(0, int(length[0]) if len(length) else 0, WINDOW):
         states, ys, rows = [], [], []
         for t in range(w, w + WINDOW):
@@ -382,7 +393,7 @@ def log_likelihoods(net: dict, vocabulary: Vocabulary, ids: np.ndarray, many: np
             states.append(h[:live])
             ys.append(y)
             rows.append(order[:live])
-            h = step(net, h[:live], y)[0]
+            h = step(weights, h[:live], y)[0]
         logs = outputs(net, vocabulary, np.concatenate(states), np.concatenate(ys))
         out += np.bincount(np.concatenate(rows), weights=logs, minlength=len(many))
     return out

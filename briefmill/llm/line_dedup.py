@@ -3,7 +3,7 @@
 Every line is read as a set of tokens once. Lines of equal sets are one line, kept where it comes first. Each line's
 tokens are ordered by rarity (their counts in a fixed number of hash buckets; ties by hash), and its prefix is as long
 as a match needs. Lines that meet in a prefix token are candidates if their lengths, the token's positions and a parity
-outline of their sets allow enough overlap, and a wider outline before their sets move. First each line is held against its nearest neighbours in its lists; only
+outline of their sets allow enough overlap (a wider one where a line is long), and a still wider outline before their sets move. First each line is held against its nearest neighbours in its lists; only
 lines that no earlier one of these matches are then paired with all earlier candidates. So a large group of near copies
 costs a few pairs a line, and no candidate of a line that stays is left out.
 """
@@ -25,6 +25,8 @@ ROWS, PLACES = 512, 2048
 NEAREST, SORTED_LINES, TOKEN_PARTS = 3, 250_000, 3
 #: Words of 64 bits of the outlines that pairs are held against before their sets; a power of two.
 OUTLINE_WORDS = 8
+#: Words of the outlines that stand in the lists of the full pairing for lines of more than SHORT tokens, too many for 64 bits.
+LIST_WORDS, SHORT = 4, 64
 
 #: Words repeat, so that a file's distinct ones as a dictionary and places in it take less than half of the numbers.
 WIDE = {"parquet.dictionary.page.size": str(32 << 20)}
@@ -87,6 +89,12 @@ def _candidates(percent: int) -> str:
     )
 
 
+def _close(percent: int) -> str:
+    """A further condition on long lines of a list: their wide outlines (w0 and so on, m before the other's) allow a match."""
+    differ = " + ".join(f"bit_count(w{w} ^ mw{w})" for w in range(LIST_WORDS))
+    return f"(n <= {SHORT} OR m <= {SHORT} OR (n + m - ({differ})) div 2 >= {_needed(percent)})"
+
+
 def _entries(prefixes: DataFrame, *more: str) -> DataFrame:
     return prefixes.select("id", "n", "outline", *more, F.posexplode("prefix").alias("at", "t"))
 
@@ -105,11 +113,11 @@ def _bit(t: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _wide_outline(tokens: Column) -> list[Column]:
-    """A parity outline of 64 * OUTLINE_WORDS bits, as columns o0, o1 and so on."""
-    word = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(OUTLINE_WORDS - 1))
+def _wide_outline(tokens: Column, words: int = OUTLINE_WORDS, name: str = "o") -> list[Column]:
+    """A parity outline of 64 * words bits, as columns o0, o1 and so on."""
+    word = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(words - 1))
     of = lambda w: F.aggregate(F.filter(tokens, lambda t: word(t) == w), F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(_bit(t)))
-    return [of(w).alias(f"o{w}") for w in range(OUTLINE_WORDS)]
+    return [of(w).alias(f"{name}{w}") for w in range(words)]
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -172,7 +180,12 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     # the classes are read in one place, so that the optimizer puts the subquery there and no row carries them
     ranked = _ranked(F.col("tokens"), F.col("_classes"))
     prefix = F.slice(ranked, F.lit(1), n - F.expr(f"(size(tokens) * {percent} + 99) div 100").cast("int") + 1)
-    prefixes = read.withColumn("_classes", rarity.scalar()).select("line", n.alias("n"), outline.alias("outline"), prefix.alias("prefix"))
+    # a long line's 64 bits say nothing; zeros of short ones take no room
+    wide = [f"w{w}" for w in range(LIST_WORDS)]
+    long = F.when(n > SHORT, F.col("tokens")).otherwise(F.array().cast("array<long>"))
+    prefixes = read.withColumn("_classes", rarity.scalar()).select(
+        "line", n.alias("n"), outline.alias("outline"), prefix.alias("prefix"), *_wide_outline(long, LIST_WORDS, "w")
+    )
     prefixes = materialize(prefixes.join(firsts.select("line", "id"), "line").drop("line"), "prefixes")
     discard(rarity)
 
@@ -196,12 +209,12 @@ def find(docs: DataFrame, percent: int = 80) -> DataFrame:
     discard(prefixes)
 
     def earlier(listed: DataFrame) -> DataFrame:
-        left = listed.filter("rest").drop("rest")
-        right = listed.select("t", F.col("id").alias("mid"), F.col("n").alias("m"), F.col("at").alias("mat"), F.col("outline").alias("moutline"))
-        met = left.join(right, "t").filter(F.expr("mid < id AND " + _candidates(percent)))
+        left, others = listed.filter("rest").drop("rest"), {"n": "m"}
+        right = listed.drop("rest").select("t", *[F.col(c).alias(others.get(c, f"m{c}")) for c in ("id", "n", "at", "outline", *wide)])
+        met = left.join(right, "t").filter(F.expr(f"mid < id AND {_candidates(percent)} AND {_close(percent)}"))
         return met.select(F.col("id").alias("a"), F.col("mid").alias("b"))
 
-    pairs = _by_tokens(marked, earlier, "rest")
+    pairs = _by_tokens(marked, earlier, "rest", *wide)
     discard(marked)
     rest = materialize(pairs.join(near, ["a", "b"], "left_anti"), "rest")
     found = materialize(found.unionByName(_verified(rest, read, firsts, percent)).withColumn("near", F.lit(True)), "matches")

@@ -10,7 +10,7 @@ from briefmill.plans import catalogue
 from briefmill.sources.stores import Store
 
 
-@pytest.mark.parametrize("name", ["contradictions_all", "contradiction_table_rows"])
+@pytest.mark.parametrize("name", ["contradictions_all", "contradiction_table_rows", "value_conflicts", "value_conflicts_normalized", "absence_conflicts"])
 def test_lines_are_read_once(spark, name):
     rows = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not [f for f in rows.inputFiles() if "lineitem" in f]  # before, each kind of conflict made the clauses of the lines
